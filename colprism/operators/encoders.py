@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colprism.fixed_values import SEQUENCE_LENGTH
 from colprism.functions.cells import quoted
 from colprism.functions.chars import bigrams, chars, pad_front
+from colprism.functions.constants import int_array
 from colprism.operators.folds import number_rows
 
 
@@ -70,7 +69,7 @@ class CharEncoder:
 
     def ids(self, text: Column) -> Column:
         """The ids of the characters of a text; unknown characters drop out."""
-        table = F.from_json(F.lit(json.dumps(self._by_code)), "array<int>")
+        table = int_array(self._by_code)
         found = F.transform(chars(text), lambda ch: F.get(table, F.ascii(ch)))
         return F.filter(found, lambda i: i > 0)
 
