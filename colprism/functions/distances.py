@@ -16,6 +16,22 @@ def euclidean_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
 
 
+def euclidean_of(a: Column, b: Column, dims: int) -> Column:
+    """As :func:`euclidean_distance` for a known length, without temporary arrays."""
+    total = F.lit(0.0)
+    for i in range(dims):
+        gap = F.get(a, F.lit(i)) - F.get(b, F.lit(i))
+        total = total + gap * gap
+    return F.sqrt(total)
+
+
+def edit_distance_within(a: Column, b: Column, limit: Column) -> Column:
+    """The edit distance, or NULL if it is above ``limit``; only a band of the table is
+    filled."""
+    found = F.call_function("levenshtein", a, b, limit)
+    return F.when(found >= 0, found)
+
+
 def combined_distance(
     name_a: Column, stats_a: Column, name_b: Column, stats_b: Column, alpha: float
 ) -> Column:

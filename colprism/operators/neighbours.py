@@ -5,8 +5,9 @@ The distance is a metric, so the triangle inequality can rule out most points un
 1. A few training points serve as pivots.  Every training point belongs to the cell of its
    nearest pivot and, by its distance to it, to a ring of that cell.
 2. From the ring sizes alone each query gets a radius that surely holds its k nearest.
-3. A query visits only the rings that its radius can reach.  Rings are cut into blocks of
-   bounded size, and a block is one row; a visit yields at most k rows.
+3. Rings are joined or cut into blocks of bounded size, and a block is one row.  A look
+   into the nearest block tightens the radius.
+4. A query visits only the blocks that its radius can reach; a visit yields at most k rows.
 
 Identical training points beyond the first k can never be chosen (ties go to the smaller
 id) and are dropped; identical queries are answered once.  So copies, however many, load
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from colprism.fixed_values import NEIGHBOUR_ALPHAS, NEIGHBOUR_COUNTS
 from colprism.functions.cells import quoted
 from colprism.functions.constants import sql_double, sql_doubles, sql_text, struct_array
-from colprism.functions.distances import combined_distance
+from colprism.functions.distances import combined_distance, edit_distance_within, euclidean_of
 from colprism.functions.numeric import text_or_nan
 from colprism.operators.evaluate import best_of_grid, hit_rate
 from colprism.operators.folds import shuffle_hash
@@ -152,15 +153,25 @@ def _reach(counted: list, index: _Index) -> list[float | None]:
     return far
 
 
-def _visits(queries: DataFrame, index: _Index, grouped: bool) -> DataFrame:
-    """(query and the blocks it must look into)."""
+def _located(queries: DataFrame, index: _Index, grouped: bool) -> DataFrame:
+    """Adds the distances to the pivots, and a radius from the ring sizes alone."""
     reach = struct_array(
         [
             {"grp": "cast(null AS int)" if g is None else str(g), "far": sql_doubles(far)}
             for g, far in index.reach.items()
         ]
     )
-    bands = struct_array(
+    anyone = F.get(F.filter(reach, lambda e: e["grp"].isNull()), F.lit(0))["far"]
+    own = F.get(F.filter(reach, lambda e: e["grp"] == F.col("grp")), F.lit(0))["far"]
+    far = F.coalesce(own, anyone) if grouped else anyone
+    surely = F.array_min(F.zip_with(F.col("to_pivots"), far, lambda d, f: d + f))
+    return queries.withColumn("to_pivots", index.pivot_distances()).withColumn(
+        "radius", F.coalesce(surely, F.lit(float("inf")))
+    )
+
+
+def _bands(index: _Index) -> Column:
+    return struct_array(
         [
             {
                 "cell": str(b["cell"]),
@@ -172,36 +183,86 @@ def _visits(queries: DataFrame, index: _Index, grouped: bool) -> DataFrame:
             for b in index.bands
         ]
     )
-    anyone = F.get(F.filter(reach, lambda e: e["grp"].isNull()), F.lit(0))["far"]
-    own = F.get(F.filter(reach, lambda e: e["grp"] == F.col("grp")), F.lit(0))["far"]
-    far = F.coalesce(own, anyone) if grouped else anyone
-    radius = F.array_min(F.zip_with(F.col("to_pivots"), far, lambda d, f: d + f))
+
+
+def _gap(band: Column) -> Column:
+    """How far a query's distance to the pivot is from the range of a band."""
+    d = F.get(F.col("to_pivots"), band["cell"])
+    return F.greatest(band["low"] - d, d - band["high"], F.lit(0.0))
+
+
+def _measured(p: Column, index: _Index, dims: int) -> Column:
+    """Distance to a point of a block, NULL if it is beyond the radius."""
+    base = F.lit(float(index.alpha)) * euclidean_of(F.col("x"), p["x"], dims)
+    room = F.floor(F.least(F.col("radius") - base, F.lit(1e9))).cast("int")
+    edit = edit_distance_within(F.col("name"), p["name"], room)
+    return F.when(base <= F.col("radius"), base + edit.cast("double"))
+
+
+def _distances(index: _Index, dims: int, grouped: bool) -> Column:
+    """(distance, id, label) of the points of the joined block within the radius."""
+
+    def possible(p: Column) -> Column:
+        near = F.abs(F.col("d") - p["r"]) <= F.col("radius")
+        return near & (p["grp"] != F.col("grp")) if grouped else near
+
+    every = F.transform(
+        F.filter("points", possible),
+        lambda p: F.struct(
+            _measured(p, index, dims).alias("distance"),
+            p["id"].alias("id"),
+            p["label"].alias("label"),
+        ),
+    )
+    return F.filter(every, lambda e: e["distance"].isNotNull())
+
+
+def _tightened(located: DataFrame, blocks: DataFrame, index: _Index, dims: int, grouped: bool) -> DataFrame:
+    """Replaces the radius by the k-th distance found in the one block next to the query."""
+    here = F.array_min(
+        F.transform(
+            _bands(index),
+            lambda b: F.struct(
+                (_gap(b) + F.get("to_pivots", b["cell"])).alias("gap"),
+                b["band"].alias("band"), b["parts"].alias("parts"), b["cell"].alias("cell"),
+            ),
+        )
+    )
+    home = (
+        located.withColumn("here", here)
+        .withColumn("band", F.col("here.band"))
+        .withColumn("part", F.pmod(F.xxhash64("name"), F.col("here.parts")).cast("int"))
+        .withColumn("d", F.get("to_pivots", F.col("here.cell")))
+    )
+    kth = F.get(
+        F.array_sort(F.transform(_distances(index, dims, grouped), lambda e: e["distance"])),
+        F.lit(index.k - 1),
+    )
     # The slack covers rounding in the triangle inequality.
     slack = F.lit(1e-9) * (F.lit(1.0) + F.array_max("to_pivots"))
+    return home.join(blocks, ["band", "part"], "left").select(
+        "id", "name", "x", "grp", "to_pivots", (F.least(kth, F.col("radius")) + slack).alias("radius")
+    )
 
-    def reachable(band: Column) -> Column:
-        d = F.get(F.col("to_pivots"), band["cell"])
-        return (d - F.col("radius") <= band["high"]) & (d + F.col("radius") >= band["low"])
 
-    blocks = F.flatten(
+def _visits(located: DataFrame, index: _Index) -> DataFrame:
+    """(query and the blocks it must look into)."""
+    wanted = F.flatten(
         F.transform(
-            F.filter(bands, reachable),
-            lambda band: F.transform(
-                F.sequence(F.lit(0), band["parts"] - 1),
+            F.filter(_bands(index), lambda b: _gap(b) <= F.col("radius")),
+            lambda b: F.transform(
+                F.sequence(F.lit(0), b["parts"] - 1),
                 lambda part: F.struct(
-                    band["cell"].alias("cell"), band["band"].alias("band"), part.alias("part")
+                    b["cell"].alias("cell"), b["band"].alias("band"), part.alias("part")
                 ),
             ),
         )
     )
-    return (
-        queries.withColumn("to_pivots", index.pivot_distances())
-        .withColumn("radius", F.coalesce(radius + slack, F.lit(float("inf"))))
-        .select("id", "name", "x", "grp", "to_pivots", "radius", F.explode(blocks).alias("b"))
-        .select(
-            "id", "name", "x", "grp", "radius", "b.band", "b.part",
-            F.get("to_pivots", F.col("b.cell")).alias("d"),
-        )
+    return located.select(
+        "id", "name", "x", "grp", "to_pivots", "radius", F.explode(wanted).alias("b")
+    ).select(
+        "id", "name", "x", "grp", "radius", "b.band", "b.part",
+        F.get("to_pivots", F.col("b.cell")).alias("d"),
     )
 
 
@@ -247,20 +308,11 @@ def nearest(
         .agg(F.collect_list(F.struct("r", "id", "name", "x", "grp", "label")).alias("points"))
     )
 
+    dims = 0 if alpha == 0 else len(columns.stats)
     askers = asked.groupBy("name", "x", "grp").agg(F.min("id").alias("id"))
-    visits = _visits(askers, index, grouped)
-
-    def possible(p: Column) -> Column:
-        near = F.abs(F.col("d") - p["r"]) <= F.col("radius")
-        return near & (p["grp"] != F.col("grp")) if grouped else near
-
-    def measured(p: Column) -> Column:
-        distance = combined_distance(F.col("name"), F.col("x"), p["name"], p["x"], alpha)
-        return F.struct(distance.alias("distance"), p["id"].alias("id"), p["label"].alias("label"))
-
-    best_in_block = F.slice(
-        F.array_sort(F.transform(F.filter("points", possible), measured)), 1, k
-    )
+    located = _tightened(_located(askers, index, grouped), blocks, index, dims, grouped)
+    visits = _visits(located, index)
+    best_in_block = F.slice(F.array_sort(_distances(index, dims, grouped)), 1, k)
     order = Window.partitionBy("query").orderBy("distance", "neighbour_id")
     answers = (
         visits.join(blocks, ["band", "part"])
