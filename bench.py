@@ -36,6 +36,8 @@ def session() -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        # The neighbour join moves little data and computes a lot on it: keep its tasks apart.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

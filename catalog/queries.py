@@ -337,7 +337,7 @@ def _clipped(c: str, limit: int) -> str:
 def _z(c: str, e: str | None = None) -> str:
     e = e or f'"{c}"'
     scaled = f"({e} - avg({e}) OVER ()) / coalesce(nullif(stddev_pop({e}) OVER (), 0), 1)"
-    return f'round({scaled}, 6) AS "{c}"'
+    return f'round({scaled}, 6) + 0.0::DOUBLE AS "{c}"'  # + 0.0 turns -0.0 into 0.0
 
 
 @query(
@@ -352,7 +352,7 @@ def _(spark, d):
         table(spark, d, "lineitem"), normalize=True, abs_limit=abs_limit_10000,
         columns=_MEASURES, keep=keys,
     )
-    return out.select(*keys, *[F.round(c, 6).alias(c) for c in _MEASURES])
+    return out.select(*keys, *[(F.round(c, 6) + 0.0).alias(c) for c in _MEASURES])
 
 
 def _all_column_features(spark: SparkSession, d: str) -> DataFrame:
@@ -387,7 +387,7 @@ def _(spark, d):
         _all_column_features(spark, d), normalize=True, abs_limit=abs_limit_1000,
         keep=["Attribute_name"],
     )
-    return out.select("Attribute_name", *[F.round(quoted(c), 6).alias(c) for c in STATS_25])
+    return out.select("Attribute_name", *[(F.round(quoted(c), 6) + 0.0).alias(c) for c in STATS_25])
 
 
 @query(
@@ -404,11 +404,12 @@ def _(spark, d):
 def _(spark, d):
     out = prep.process_statistics(_all_column_features(spark, d), keep=["Attribute_name"])
     return out.select(
-        "Attribute_name", *[F.round(quoted(m).cast("double"), 6).alias(m) for m in STATS_19.values()]
+        "Attribute_name", *[(F.round(quoted(m).cast("double"), 6) + 0.0).alias(m) for m in STATS_19.values()]
     )
 
 
-_EVENT_CODES = {"click": 0, "error": 1, "purchase": 2, "scroll": 3}
+# 'view' is left out: an unknown label has no code.
+_EVENT_CODES = {"click": 0, "error": 1, "purchase": 2, "signup": 3}
 
 
 @query(

@@ -25,11 +25,10 @@ def euclidean_of(a: Column, b: Column, dims: int) -> Column:
     return F.sqrt(total)
 
 
-def edit_distance_within(a: Column, b: Column, limit: Column) -> Column:
-    """The edit distance, or NULL if it is above ``limit``; only a band of the table is
+def edit_distance_up_to(a: Column, b: Column, limit: Column) -> Column:
+    """The edit distance, or -1 if it is above ``limit``; only a band of the table is
     filled."""
-    found = F.call_function("levenshtein", a, b, limit)
-    return F.when(found >= 0, found)
+    return F.call_function("levenshtein", a, b, limit)
 
 
 def combined_distance(

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from colprism.fixed_values import NEIGHBOUR_ALPHAS, NEIGHBOUR_COUNTS
 from colprism.functions.cells import quoted
 from colprism.functions.constants import sql_double, sql_doubles, sql_text, struct_array
-from colprism.functions.distances import combined_distance, edit_distance_within, euclidean_of
+from colprism.functions.distances import combined_distance, edit_distance_up_to, euclidean_of
 from colprism.functions.numeric import text_or_nan
 from colprism.operators.evaluate import best_of_grid, hit_rate
 from colprism.operators.folds import shuffle_hash
@@ -191,30 +191,33 @@ def _gap(band: Column) -> Column:
     return F.greatest(band["low"] - d, d - band["high"], F.lit(0.0))
 
 
-def _measured(p: Column, index: _Index, dims: int) -> Column:
-    """Distance to a point of a block, NULL if it is beyond the radius."""
-    base = F.lit(float(index.alpha)) * euclidean_of(F.col("x"), p["x"], dims)
-    room = F.floor(F.least(F.col("radius") - base, F.lit(1e9))).cast("int")
-    edit = edit_distance_within(F.col("name"), p["name"], room)
-    return F.when(base <= F.col("radius"), base + edit.cast("double"))
-
-
 def _distances(index: _Index, dims: int, grouped: bool) -> Column:
-    """(distance, id, label) of the points of the joined block within the radius."""
+    """(distance, id, label) of the points of the joined block within the radius.
+
+    One step per test, cheapest first, so that no step computes anything twice.
+    """
 
     def possible(p: Column) -> Column:
         near = F.abs(F.col("d") - p["r"]) <= F.col("radius")
         return near & (p["grp"] != F.col("grp")) if grouped else near
 
-    every = F.transform(
-        F.filter("points", possible),
-        lambda p: F.struct(
-            _measured(p, index, dims).alias("distance"),
-            p["id"].alias("id"),
-            p["label"].alias("label"),
-        ),
-    )
-    return F.filter(every, lambda e: e["distance"].isNotNull())
+    def with_euclid(p: Column) -> Column:
+        base = F.lit(float(index.alpha)) * euclidean_of(F.col("x"), p["x"], dims)
+        return F.struct(base.alias("base"), p["name"].alias("name"), p["id"].alias("id"), p["label"].alias("label"))
+
+    def with_edit(p: Column) -> Column:
+        room = F.floor(F.least(F.col("radius") - p["base"], F.lit(1e9))).cast("int")
+        edit = edit_distance_up_to(F.col("name"), p["name"], room)
+        return F.struct(p["base"].alias("base"), edit.alias("edit"), p["id"].alias("id"), p["label"].alias("label"))
+
+    def summed(p: Column) -> Column:
+        total = p["base"] + p["edit"].cast("double")
+        return F.struct(total.alias("distance"), p["id"].alias("id"), p["label"].alias("label"))
+
+    by_euclid = F.transform(F.filter("points", possible), with_euclid)
+    close = F.filter(by_euclid, lambda p: p["base"] <= F.col("radius"))
+    found = F.filter(F.transform(close, with_edit), lambda p: p["edit"] >= 0)
+    return F.transform(found, summed)
 
 
 def _tightened(located: DataFrame, blocks: DataFrame, index: _Index, dims: int, grouped: bool) -> DataFrame:
