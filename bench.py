@@ -37,7 +37,9 @@ def session() -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         # The neighbour join moves little data and computes a lot on it: keep its tasks apart.
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
+        # Plans are built anew for every run; skip recording the call site of every column.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
