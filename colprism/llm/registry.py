@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colprism.llm import pii, secrets, simhash
+from colprism.llm import pii, secrets, simhash, suffixdedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,6 +23,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document that passages of 200 bytes repeat."""
+    return suffixdedup.summary(suffixdedup.remove_repeats(table(spark, folder, "documents")))
+
+
 @query
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every document: counts, digest and spans."""
