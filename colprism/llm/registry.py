@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colprism.llm import pii, secrets, simhash, suffixdedup
+from colprism.llm import hmm, pii, secrets, simhash, suffixdedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +29,12 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixdedup.summary(suffixdedup.remove_repeats(table(spark, folder, "documents")))
 
 
+@query
+def op5_hmm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Likelihood of every document under the hidden Markov model and under word counts."""
+    return hmm.score(table(spark, folder, "documents"))
+
+
 @query
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every document: counts, digest and spans."""
