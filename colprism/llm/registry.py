@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colprism.llm import hmm, pii, secrets, simhash, suffixdedup
+from colprism.llm import annsearch, decontam, hmm, langid, mixing, pii, secrets, simhash, suffixdedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,6 +23,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page, archived, normalised and read back."""
+    found = warc.archived(table(spark, folder, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document."""
+    return langid.identify(table(spark, folder, "documents"))
+
+
+@query
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Where documents hold a benchmark text, with few edits."""
+    return decontam.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes of every document that passages of 200 bytes repeat."""
@@ -41,6 +60,12 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.summary(secrets.find_secrets(table(spark, folder, "documents")))
 
 
+@query
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that the mix of sources takes."""
+    return mixing.mix(table(spark, folder, "documents"))
+
+
 @query
 def op8_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with personal data replaced."""
@@ -52,3 +77,9 @@ def op8_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 nearest embeddings of every 50th."""
+    return annsearch.nearest(table(spark, folder, "embeddings"))
