@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colprism.llm.shared import narrowed, text_bytes
+from colprism.llm.shared import narrowed, stored, text_bytes
 
 THRESHOLD = 200
 #: Different contexts of one anchor that are sorted in one task; larger groups are dealt out by window.
 GROUP = 16384
+#: Contexts of a group that are compared in pairs.
+FEW = 48
 _BLOCK = 1 << 17
 _PLACE = np.dtype([("rid", "<i8"), ("rid2", "<i4"), ("pos", "<i4")])
 
@@ -87,92 +89,80 @@ def anchors(data: np.ndarray, cuts: np.ndarray, digits: Digits, threshold: int)
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch], threshold: int, digit: int) -> Iterator[pa.RecordBatch]:
-    """h, n, places: the anchors of a batch, those of one digit gathered in one row."""
-    digits = Digits(digit)
+    """h, ck, sides, n, places: the anchors of a batch, by digit and context.
+
+    The context is all that windows around the anchor can reach, ck a hash of it, sides
+    its lengths on the left and right.  What a batch has of one context is one row.
+    """
+    import xxhash
+
+    digits, left_most, digest = Digits(digit), threshold - digit, xxhash.xxh64_intdigest
     for batch in batches:
         data, cuts = text_bytes(batch)
         at, h = anchors(data, cuts, digits, threshold)
-        order = np.argsort(h, kind="stable")
-        at, h = at[order], h[order]
-        row = np.searchsorted(cuts, at, side="right") - 1
         # The later of rows that start at one place is the one with bytes.
+        row = np.searchsorted(cuts, at, side="right") - 1
+        left = np.minimum(at - cuts[row], left_most)
+        right = np.minimum(cuts[row + 1] - at, threshold)
+        sides = (left << 16 | right).astype(np.int32)
+        raw = data.tobytes()
+        ends = zip((at - left).tolist(), (at + right).tolist(), sides.tolist())
+        ck = np.array([digest(raw[a:b], s) for a, b, s in ends], np.uint64).view(np.int64)
+        order = np.lexsort((ck, h))
+        at, h, ck, sides, row = at[order], h[order], ck[order], sides[order], row[order]
         packed = np.empty(len(at), _PLACE)
         packed["rid"] = batch.column(1).to_numpy(zero_copy_only=False)[row]
         packed["rid2"] = batch.column(2).to_numpy(zero_copy_only=False)[row]
         packed["pos"] = at - cuts[row]
-        new = np.flatnonzero(np.diff(h, prepend=h[:1] + np.uint64(1)))
-        sizes = np.diff(np.append(new, len(h)))
-        offsets = np.append(new, len(h)).astype(np.int64) * _PLACE.itemsize
+        new = np.flatnonzero(np.append(True, (np.diff(h) != 0) | (np.diff(ck) != 0))) if len(at) else at
+        edges = np.append(new, len(at)).astype(np.int64)
         for lo in range(0, len(new), 1 << 16):
             hi = min(lo + (1 << 16), len(new))
-            cut = offsets[lo : hi + 1] - offsets[lo]
-            body = packed.view(np.uint8)[offsets[lo] : offsets[hi]]
-            places = pa.Array.from_buffers(
-                pa.binary(), hi - lo, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(body))]
-            )
+            body = np.ascontiguousarray(packed[edges[lo] : edges[hi]]).view(np.uint8)
+            cut = ((edges[lo : hi + 1] - edges[lo]) * _PLACE.itemsize).astype(np.int32)
+            some = new[lo:hi]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[new[lo:hi]].view(np.int64)), pa.array(sizes[lo:hi].astype(np.int32)), places], ["h", "n", "places"]
+                [
+                    pa.array(h[some].view(np.int64)),
+                    pa.array(ck[some]),
+                    pa.array(sides[some]),
+                    pa.array(np.diff(edges[lo : hi + 1])),
+                    pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(cut), pa.py_buffer(body)]),
+                ],
+                ["h", "ck", "sides", "n", "places"],
             )
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unpacked(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
+    """The other columns once for each place, with rid, rid2 and pos; with ``first`` only for the first."""
     for batch in batches:
-        cell = batch.column(1)
-        parts = [np.frombuffer(p.as_buffer(), _PLACE) for p in cell]
-        if not parts:
-            continue
-        packed = np.concatenate(parts)
-        h = np.repeat(batch.column(0).to_numpy(), [len(p) for p in parts])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ascontiguousarray(packed[c])) for c in ("rid", "rid2", "pos")] + [pa.array(h)], ["rid", "rid2", "pos", "h"]
-        )
-
-
-def _contexts(batches: Iterator[pa.RecordBatch], threshold: int, digit: int, whole: bool) -> Iterator[pa.RecordBatch]:
-    """What lies around each anchor: all windows that hold its first digit lie in there.
+        parts = [np.frombuffer(p.as_buffer(), _PLACE, 1 if first else -1) for p in batch.column(0)]
+        if parts:
+            packed = np.concatenate(parts)
+            at = pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.ascontiguousarray(packed[c])) for c in _PLACE.names] + [c.take(at) for c in batch.columns[1:]],
+                [*_PLACE.names, *batch.schema.names[1:]],
+            )
 
-    Without ``whole``: h, ck, sides, rid, rid2, pos; ck is a hash of the context and
-    sides its length on the left and right.  With it: h, ck, sides, n, context.
-    """
-    import xxhash
 
-    left_most = threshold - digit
+def _contexts(batches: Iterator[pa.RecordBatch], threshold: int, digit: int) -> Iterator[pa.RecordBatch]:
+    """h, ck, sides, n, context: the bytes of the contexts asked of each row."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
             data, cuts = text_bytes(part)
             raw = data.tobytes()
             out = defaultdict(list)
-            for i, anchors_of in enumerate(part.column(part.schema.get_field_index("at"))):
-                a, b = int(cuts[i]), int(cuts[i + 1])
-                for place in anchors_of.as_py():
-                    p = a + place["pos"]
-                    start, end = max(a, p - left_most), min(b, p + threshold)
-                    context, sides = raw[start:end], (p - start) << 16 | (end - p)
-                    out["h"].append(place["h"])
-                    out["sides"].append(sides)
-                    if whole:
-                        out["ck"].append(place["ck"])
-                        out["n"].append(place["n"])
-                        out["context"].append(context)
-                    else:
-                        out["ck"].append(xxhash.xxh64_intdigest(context, sides) - (1 << 63))
-                        out["pos"].append(place["pos"])
-                        out["i"].append(i)
-            if not out:
-                continue
-            long, int_ = (lambda c: pa.array(out[c], pa.int64())), (lambda c: pa.array(out[c], pa.int32()))
-            if whole:
-                yield pa.RecordBatch.from_arrays(
-                    [long("h"), long("ck"), int_("sides"), long("n"), pa.array(out["context"], pa.binary())],
-                    ["h", "ck", "sides", "n", "context"],
-                )
-            else:
-                at = pa.array(out["i"], pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [long("h"), long("ck"), int_("sides"), part.column(1).take(at), part.column(2).take(at), int_("pos")],
-                    ["h", "ck", "sides", "rid", "rid2", "pos"],
-                )
+            for i, asked in enumerate(part.column(part.schema.get_field_index("at"))):
+                for place in asked.as_py():
+                    p = int(cuts[i]) + place["pos"]
+                    for name in ("h", "ck", "sides", "n"):
+                        out[name].append(place[name])
+                    out["context"].append(raw[p - (place["sides"] >> 16) : p + (place["sides"] & 0xFFFF)])
+            if out:
+                kinds = {"h": pa.int64(), "ck": pa.int64(), "sides": pa.int32(), "n": pa.int64(), "context": pa.binary()}
+                yield pa.RecordBatch.from_arrays([pa.array(out[c], k) for c, k in kinds.items()], list(kinds))
 
 
 def window_starts(sides: int, threshold: int) -> range:
@@ -181,6 +171,30 @@ def window_starts(sides: int, threshold: int) -> range:
     return range(max(0, threshold - right), left + 1)
 
 
+def _by_pairs(group: list[tuple[int, int, bytes]], threshold: int) -> list[set[int]]:
+    """As ``repeated_windows``, by comparing the few contexts of a group with each other.
+
+    Two contexts share the windows that reach no further to the left and the right of
+    the anchor than they agree.
+    """
+    most = max(sides >> 16 for sides, _, _ in group)
+    left = [int.from_bytes(c[: s >> 16][::-1].ljust(most, b"\0"), "big") for s, _, c in group]
+    right = [int.from_bytes(c[s >> 16 :].ljust(threshold, b"\0"), "big") for s, _, c in group]
+    found = [set(window_starts(s, threshold)) if n > 1 else set() for s, n, _ in group]
+    for i, (a, n, _) in enumerate(group):
+        for j in range(i):
+            b, k, _ = group[j]
+            if n > 1 and k > 1:
+                continue
+            near = min(threshold - ((right[i] ^ right[j]).bit_length() + 7) // 8, a & 0xFFFF, b & 0xFFFF)
+            far = min(most - ((left[i] ^ left[j]).bit_length() + 7) // 8, a >> 16, b >> 16)
+            if near + far >= threshold:
+                shared = range(threshold - near, far + 1)
+                found[i].update(shared)
+                found[j].update(shared)
+    return found
+
+
 def repeated_windows(group: list[tuple[int, int, bytes]], threshold: int, digit: int) -> list[list[int]]:
     """For each (sides, n, context) the starts before the anchor of windows that occur again.
 
@@ -188,6 +202,8 @@ def repeated_windows(group: list[tuple[int, int, bytes]], threshold: int, digit:
     most significant first; a class of one suffix is done, and classes that are left
     after ``threshold`` bytes are the repeated windows.
     """
+    if len(group) <= FEW:
+        return [sorted(f) for f in _by_pairs(group, threshold)]
     found: list[list[int]] = [[] for _ in group]
     by_start = defaultdict(list)
     for i, (sides, _, _) in enumerate(group):
@@ -253,10 +269,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = raw[int(cuts[i]) : int(cuts[i + 1])]
                 merged: list[dict] = []
                 if removed.is_valid:
-                    starts = removed.values.field("start").to_numpy()
-                    ends = removed.values.field("end").to_numpy()
-                    order = np.argsort(starts, kind="stable")
-                    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+                    both = np.sort(removed.values.to_numpy(zero_copy_only=False))
+                    starts, ends = both >> 32, np.maximum.accumulate(both & 0xFFFFFFFF)
                     first = np.flatnonzero(np.append(True, starts[1:] > ends[:-1]))
                     last = np.append(first[1:] - 1, len(starts) - 1)
                     merged = [{"start": a, "end": b} for a, b in zip(starts[first].tolist(), ends[last].tolist())]
@@ -284,54 +298,51 @@ def remove_repeats(
     they came.  Strings do not cross rows.  A null text is empty; rows that repeat others
     repeat their strings; a text shorter than ``threshold`` keeps all its bytes.
 
-    1. The first radix pass: anchors (see there) by their first digit; digits that occur
-       once are done.  What one batch of rows has of a digit travels as one row.
-    2. Anchors left get a context, all that windows around them can reach; equal contexts
-       are counted before they are shuffled.
-    3. A digit with one context repeats all its windows.  Of a digit with several, each
-       context comes once and its windows are sorted on, in groups of bounded size; larger
-       groups are dealt out by window.
+    1. The first radix pass: anchors (see there) by their first digit, with a hash of all
+       that windows around them can reach, their context.  What one batch of rows has of
+       a context travels as one row.  Digits that occur once are done.
+    2. A digit with one context repeats all its windows.
+    3. Of a digit with several, the bytes of each context are fetched once and its windows
+       are sorted on, in groups of bounded size; larger groups are dealt out by window.
     4. The ranges found go back to the places of each context.
 
-    The texts are shuffled once, by row; the plan reuses that shuffle three times.
+    The texts are shuffled once, by row; the plan reuses that shuffle.
     """
     digit = max(1, threshold // 4)
     rows = narrowed(docs, id=id, text=text).withColumn("text", F.coalesce("text", F.lit("")))
     key = [F.xxhash64("id", "text").alias("rid"), (F.crc32(F.encode("text", "UTF-8")) % (1 << 31)).cast("int").alias("rid2")]
-    keyed = rows.select("text", *key)
     dealt = rows.select("id", "text", *key).repartition("rid", "rid2")
-    of_row = ["rid", "rid2"]
+    of_row, place = ["rid", "rid2"], "rid bigint, rid2 int, pos int"
 
-    first = keyed.where(F.octet_length("text") >= threshold).mapInArrow(
-        lambda b: _first_pass(b, threshold, digit), "h bigint, n int, places binary"
-    )
-    again = first.withColumn("all", F.sum("n").over(Window.partitionBy("h"))).where("all > 1").select("h", "places")
-    left = again.mapInArrow(_unpacked, "rid bigint, rid2 int, pos int, h bigint")
-    at = left.groupBy(*of_row).agg(F.collect_set(F.struct("pos", "h")).alias("at"))
-    held = dealt.join(at, of_row).select("text", *of_row, "at")
-    places = held.mapInArrow(
-        lambda b: _contexts(b, threshold, digit, False), "h bigint, ck bigint, sides int, rid bigint, rid2 int, pos int"
-    )
-    same = places.groupBy("h", "ck").agg(
-        F.count("*").alias("n"), F.max("sides").alias("sides"), *[F.first(c).alias(c) for c in ("rid", "rid2", "pos")]
+    first = rows.where(F.octet_length("text") >= threshold).select("text", *key)
+    first = first.mapInArrow(
+        lambda b: _first_pass(b, threshold, digit), "h bigint, ck bigint, sides int, n bigint, places binary"
     )
-    many = same.groupBy("h").agg(F.count("*").alias("m"))
-    contexts = same.join(many, "h").where("m > 1 OR n > 1")
+    by_digit, by_context = Window.partitionBy("h"), Window.partitionBy("h", "ck")
+    ranked = first.withColumn("rank", F.dense_rank().over(by_digit.orderBy("ck")))
+    ranked = ranked.withColumn("all", F.sum("n").over(by_digit)).withColumn("m", F.max("rank").over(by_digit))
+    ranked = ranked.withColumn("own", F.sum("n").over(by_context)).withColumn("nth", F.row_number().over(by_context.orderBy("ck")))
+    # Contexts that all occur again repeat all their windows, as if each were the only one.
+    ranked = ranked.withColumn("lone", F.min("own").over(by_digit))
+    m = F.when(F.col("lone") > 1, F.lit(1)).otherwise(F.col("m")).alias("m")
+    left = stored(ranked.where("all > 1").select("h", "ck", "sides", F.col("own").alias("n"), m, "nth", "places"))
 
     lo, hi = F.greatest(threshold - F.col("sides").bitwiseAND(0xFFFF), F.lit(0)), F.shiftright("sides", 16)
     whole = F.array(F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi")))
-    alone = contexts.where((F.col("m") == 1) & (lo <= hi)).select("h", "ck", whole.alias("ranges"))
+    alone = left.where((F.col("m") == 1) & (lo <= hi)).select("places", whole.alias("ranges"))
+    reps = left.where("m > 1 AND nth = 1").select("places", "h", "ck", "sides", "n", "m")
+    contexts = reps.mapInArrow(lambda b: _unpacked(b, True), f"{place}, h bigint, ck bigint, sides int, n bigint, m int")
 
     def with_bytes(some: DataFrame) -> DataFrame:
         """Each context once, with its bytes.  Equal rows share their key and repeat them."""
-        asked = some.groupBy(*of_row).agg(F.collect_list(F.struct("pos", "h", "ck", "n")).alias("at"))
-        return dealt.join(asked, of_row).select("text", *of_row, "at").mapInArrow(
-            lambda b: _contexts(b, threshold, digit, True), "h bigint, ck bigint, sides int, n bigint, context binary"
+        asked = some.groupBy(*of_row).agg(F.collect_set(F.struct("pos", "h", "ck", "sides", "n")).alias("at"))
+        # All columns of the shuffled rows, so that the shuffle is the same in each use.
+        return dealt.join(asked, of_row).select("text", "id", *of_row, "at").mapInArrow(
+            lambda b: _contexts(b, threshold, digit), "h bigint, ck bigint, sides int, n bigint, context binary"
         )
 
-    several = with_bytes(contexts.where((F.col("m") > 1) & (F.col("m") <= group)))
-    several = several.groupBy("h").agg(F.collect_set(F.struct("ck", "sides", "n", "context")).alias("members"))
-    sorted_on = several.mapInArrow(
+    small = with_bytes(contexts.where(F.col("m") <= group)).groupBy("h").agg(F.collect_set(F.struct("ck", "sides", "n", "context")).alias("members"))
+    sorted_on = small.mapInArrow(
         lambda b: _sorted_groups(b, threshold, digit), "h bigint, ck bigint, ranges array<struct<lo:int,hi:int>>"
     )
     large = with_bytes(contexts.where(F.col("m") > group)).dropDuplicates(["h", "ck"]).where(lo <= hi)
@@ -341,13 +352,16 @@ def remove_repeats(
     counted = windows.groupBy("h", "d", "w").agg(F.sum("n").alias("all")).where("all > 1").select("h", "d", "w")
     dealt_out = windows.join(counted, ["h", "d", "w"]).groupBy("h", "ck").agg(F.collect_set("d").alias("ds"))
     each = F.transform("ds", lambda d: F.struct(d.alias("lo"), d.alias("hi")))
-    ranges = alone.union(sorted_on).union(dealt_out.select("h", "ck", each.alias("ranges")))
+    ranges = sorted_on.union(dealt_out.select("h", "ck", each.alias("ranges")))
 
-    found = places.join(ranges, ["h", "ck"]).select(*of_row, "pos", F.explode("ranges").alias("r"))
-    span = F.struct(
-        (F.col("pos") - F.col("r.hi")).cast("bigint").alias("start"),
-        (F.col("pos") - F.col("r.lo") + threshold).cast("bigint").alias("end"),
+    several = left.where("m > 1").select("h", "ck", "places").join(ranges, ["h", "ck"])
+    found = alone.union(several.select("places", "ranges")).mapInArrow(
+        lambda b: _unpacked(b, False), f"{place}, ranges array<struct<lo:int,hi:int>>"
     )
+    found = found.select(*of_row, "pos", F.explode("ranges").alias("r"))
+    # Start and end in one number; rows are shorter than 2^31 bytes.
+    start, end = F.col("pos") - F.col("r.hi"), F.col("pos") - F.col("r.lo") + threshold
+    span = F.shiftleft(start.cast("bigint"), 32) + end
     removed = found.groupBy(*of_row).agg(F.collect_set(span).alias("removed"))
     kind = rows.schema["id"].dataType.simpleString()
     return (

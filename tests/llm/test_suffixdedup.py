@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from colprism.llm import suffixdedup
 from colprism.llm.registry import QUERIES
 from colprism.llm.suffixdedup import remove_repeats, summary
 
@@ -53,9 +54,10 @@ def test_empty(spark):
     assert plan(spark, []) == []
 
 
-@pytest.mark.parametrize("group", [2, 1000])
-def test_edges_of_passages(spark, group):
-    """Many contexts of one passage, sorted in groups and dealt out by window."""
+@pytest.mark.parametrize("group, few", [(2, 48), (1000, 48), (1000, 3)])
+def test_edges_of_passages(spark, monkeypatch, group, few):
+    """Many contexts of one passage: compared in pairs, sorted in groups, dealt out by window."""
+    monkeypatch.setattr(suffixdedup, "FEW", few)
     draw = random.Random(2)
     passages = [noise(draw, n) for n in (20, 24, 40, 90)]
     rows = []
