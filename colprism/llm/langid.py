@@ -24,7 +24,7 @@ PARTS = 4
 EPOCHS = 6
 RATE = 0.5
 #: Share of rightly labelled rows that calibration lets be rejected.
-ALPHA = 0.001
+ALPHA = 0.0001
 UNKNOWN = "und"
 _BLOCK = 1 << 19
 
@@ -169,8 +169,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([lang] * len(kept)),
                     pa.array([rank] * len(kept), pa.int32()),
                     pa.array([p if rank > FIT_ROWS else b"" for p, _, _ in kept], pa.binary()),
-                    pa.array([at.tolist() if rank <= FIT_ROWS else [] for _, at, _ in kept], pa.list_(pa.int32())),
-                    pa.array([n.tolist() if rank <= FIT_ROWS else [] for _, _, n in kept], pa.list_(pa.int64())),
+                    pa.array([at.astype("<i4").tobytes() if rank <= FIT_ROWS else b"" for _, at, _ in kept], pa.binary()),
+                    pa.array([n.astype("<i8").tobytes() if rank <= FIT_ROWS else b"" for _, _, n in kept], pa.binary()),
                 ],
                 ["lang", "rank", "text", "at", "n"],
             )
@@ -181,13 +181,13 @@ def train(rows: DataFrame) -> Model | None:
     order = Window.partitionBy("lang").orderBy("draw", "text")
     drawn = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= FIT_ROWS + CALIBRATION_ROWS)
     got = drawn.select("text", "lang", "rank").mapInArrow(
-        _features, "lang string, rank int, text binary, at array<int>, n array<bigint>"
+        _features, "lang string, rank int, text binary, at binary, n binary"
     )
-    got = sorted(got.collect(), key=lambda r: (r.lang, r["rank"], len(r.text), r.text, r.at, r.n))
+    got = sorted(got.collect(), key=lambda r: (r.lang, r["rank"], bytes(r.text), bytes(r.at), bytes(r.n)))
     labels = sorted({r.lang for r in got})
     if not labels:
         return None
-    fitted = [(r.lang, np.array(r.at), np.array(r.n, float)) for r in got if r["rank"] <= FIT_ROWS]
+    fitted = [(r.lang, np.frombuffer(r.at, "<i4"), np.frombuffer(r.n, "<i8").astype(float)) for r in got if r["rank"] <= FIT_ROWS]
     rest = [(r.lang, bytes(r.text)) for r in got if r["rank"] > FIT_ROWS]
     return calibrated(fit(fitted, labels), rest)
 
