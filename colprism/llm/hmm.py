@@ -18,7 +18,7 @@ STATES = 8
 OWN = 1024
 SUFFIXES = 1024
 CLASSES = OWN + SUFFIXES
-#: Words whose counts every task holds; the counts of all others are joined.
+#: Most words whose counts every task holds; the counts of all others are joined.
 HEADS = 1 << 16
 ROUNDS = 3
 SEEDS = 64
@@ -96,7 +96,17 @@ def _class_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    heads = counts.orderBy(F.desc("every"), "word").limit(HEADS).collect()
+    # Words by size class, of which there are few; the largest classes that fit are the heads.
+    size = F.floor(F.log2("every") * 16)
+    classes_of = {r.size: r["count"] for r in counts.groupBy(size.alias("size")).count().collect()}
+    least, room = None, HEADS - 1
+    for s in sorted(classes_of, reverse=True):
+        room -= classes_of[s]
+        if room < 0:
+            break
+        least = s
+    common = F.lit(False) if least is None else size >= least
+    heads = sorted(counts.where(common | (F.col("word") == F.lit(END))).collect(), key=lambda r: (-r.every, bytes(r.word)))
     words = [bytes(r.word) for r in heads]
     c = np.array([r.c for r in heads], np.int64)
     classes = np.array([suffix_class(w) for w in words], np.int64)
