@@ -14,7 +14,7 @@ from colprism.llm.shared import narrowed, stored, text_bytes
 
 THRESHOLD = 200
 #: Different contexts of one anchor that are sorted in one task; larger groups are dealt out by window.
-GROUP = 16384
+GROUP = 1 << 16
 #: Contexts of a group that are compared in pairs.
 FEW = 48
 _BLOCK = 1 << 17
@@ -135,9 +135,10 @@ def _first_pass(batches: Iterator[pa.RecordBatch], threshold: int, digit: int) -
 
 def _unpacked(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
     """The other columns once for each place, with rid, rid2 and pos; with ``first`` only for the first."""
-    for batch in batches:
-        parts = [np.frombuffer(p.as_buffer(), _PLACE, 1 if first else -1) for p in batch.column(0)]
-        if parts:
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 256):
+            batch = whole.slice(lo, 256)
+            parts = [np.frombuffer(p.as_buffer(), _PLACE, 1 if first else -1) for p in batch.column(0)]
             packed = np.concatenate(parts)
             at = pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
             yield pa.RecordBatch.from_arrays(
@@ -348,11 +349,13 @@ def remove_repeats(
     large = with_bytes(contexts.where(F.col("m") > group)).dropDuplicates(["h", "ck"]).where(lo <= hi)
     windows = large.select("h", "ck", "n", "sides", "context", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))).alias("d"))
     start = F.shiftright("sides", 16) - F.col("d") + 1
-    windows = windows.select("h", "ck", "n", "d", F.md5(F.substring("context", start, F.lit(threshold))).alias("w"))
+    windows = windows.select("h", "ck", "n", "d", F.unhex(F.md5(F.substring("context", start, F.lit(threshold)))).alias("w"))
     counted = windows.groupBy("h", "d", "w").agg(F.sum("n").alias("all")).where("all > 1").select("h", "d", "w")
-    dealt_out = windows.join(counted, ["h", "d", "w"]).groupBy("h", "ck").agg(F.collect_set("d").alias("ds"))
-    each = F.transform("ds", lambda d: F.struct(d.alias("lo"), d.alias("hi")))
-    ranges = sorted_on.union(dealt_out.select("h", "ck", each.alias("ranges")))
+    dealt_out = windows.join(counted, ["h", "d", "w"]).groupBy("h", "ck").agg(F.sort_array(F.collect_set("d")).alias("ds"))
+    # Starts next to each other are one range.
+    ends = lambda step: F.filter("ds", lambda d: ~F.array_contains("ds", d + step))
+    dealt_out = dealt_out.select("h", "ck", F.arrays_zip(ends(-1).alias("lo"), ends(1).alias("hi")).alias("ranges"))
+    ranges = sorted_on.union(dealt_out)
 
     several = left.where("m > 1").select("h", "ck", "places").join(ranges, ["h", "ck"])
     found = alone.union(several.select("places", "ranges")).mapInArrow(
