@@ -26,7 +26,7 @@ from colprism.operators.samplefeatures import sample_features
 from colprism.operators.sampling import filled_samples, sample_rows, sample_values
 from colprism.plans import classify
 from colprism.plans.extract import extract_features, featurize_table
-from colprism.sources.tables import spread, union_all
+from colprism.sources.tables import union_all
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,7 +44,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def steady(x: Column) -> Column:

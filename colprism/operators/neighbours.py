@@ -51,7 +51,9 @@ class PointColumns:
     def points(self, df: DataFrame, alpha: float) -> DataFrame:
         # Without weight the statistics do not tell points apart.
         used = [] if alpha == 0 else self.stats
-        x = F.array(*[quoted(c).cast("double") for c in used]).cast("array<double>")
+        # A missing statistic counts as 0; every row has a distance to every other.
+        filled = [F.coalesce(F.nanvl(quoted(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in used]
+        x = F.array(*filled).cast("array<double>")
         label = F.lit(None).cast("int") if self.label is None else quoted(self.label)
         group = F.lit(0) if self.group is None else quoted(self.group).cast("int")
         return df.select(
@@ -342,7 +344,7 @@ def vote(neighbours: DataFrame, counts: Sequence[int]) -> DataFrame:
         .groupBy("query_id", "k", "label")
         .agg(F.count(F.lit(1)).alias("votes"))
         .groupBy("query_id", "k")
-        .agg(F.max_by("label", F.struct("votes", -F.col("label"))).alias("predicted"))
+        .agg(F.min_by("label", F.struct(-F.col("votes"), "label")).alias("predicted"))
     )
 
 

@@ -46,44 +46,45 @@ def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
-def read_labelled(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A labelled table of column features: CSV by file ending, else parquet.
+def read_labelled(spark: SparkSession, path: str | list[str], format: str | None = None) -> DataFrame:
+    """A labelled table of column features; ``format`` is csv or parquet, else told by the file ending.
 
     Columns are taken by name: the header decides the order, the fixed schema the types.
+    A cell that is not of its column's type is NULL.
     """
     first = path if isinstance(path, str) else path[0]
-    if not first.endswith((".csv", ".csv.gz")):
+    if (format or ("csv" if first.endswith((".csv", ".csv.gz")) else "parquet")) != "csv":
         return read_parquet(spark, path)
     text = spark.read.csv(path, header=True, multiLine=True, escape='"')
     known = {f.name: f.dataType for f in LABELLED_SCHEMA.fields}
     # A count may be written as 12 or as 12.0.
     return text.select(
         *[
-            text[f"`{c}`"].cast("double").cast(known[c]).alias(c)
+            text[f"`{c}`"].try_cast("double").try_cast(known[c]).alias(c)
             if isinstance(known.get(c), T.IntegralType)
-            else text[f"`{c}`"].cast(known.get(c, T.StringType())).alias(c)
+            else text[f"`{c}`"].try_cast(known.get(c, T.StringType())).alias(c)
             for c in text.columns
         ]
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a table out to all cores if it comes in fewer splits than there are cores.
+def union_all(*frames: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
 
-    A small file of one row group is one task otherwise.  A large table has more
-    splits than cores and is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
+def select_described(df: DataFrame, described: DataFrame, record: int) -> DataFrame:
+    """The columns of ``df`` that a table of column descriptions lists under one ``Record_id``.
 
-def union_all(*frames: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+    They come in the order of ``df``; names that it does not have are ignored.
+    """
+    own = described.where((described["Record_id"] == record) & described["Attribute_name"].isin(df.columns))
+    names = {r[0] for r in own.select("Attribute_name").distinct().collect()}
+    return df.select(*["`" + c.replace("`", "``") + "`" for c in df.columns if c in names])
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
+def written(df: DataFrame, path: str, mode: str = "error") -> DataFrame:
     """Write once, read back: the stored form of a result, shared by later jobs."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode(mode).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

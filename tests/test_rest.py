@@ -221,3 +221,37 @@ def test_labelled_csv(iris, tmp_path, spark):
     assert dict(got.dtypes)["total_vals"] == "bigint" and dict(got.dtypes)["has_url"] == "boolean"
     assert got.where("total_vals = 150").count() == 5
     assert prep.process_stats(got, normalize=True, abs_limit=abs_limit_10000).count() == 5
+
+
+def test_malformed_cells_are_null(tmp_path, spark):
+    folder = tmp_path / "part"
+    folder.mkdir()
+    (folder / "a").write_text("Record_id,Attribute_name,mean,total_vals\n1,x,n/a,12.0\nq,y,2.5,oops\n")
+    got = tables.read_labelled(spark, str(folder), format="csv").orderBy("Attribute_name").collect()
+    assert [tuple(r) for r in got] == [(1, "x", None, 12), (None, "y", 2.5, None)]
+
+
+def test_select_described(iris, spark):
+    described = spark.createDataFrame(
+        [(1, "species"), (1, "petal_width"), (1, "gone"), (2, "sepal_width"), (None, "sepal_length")],
+        "Record_id int, Attribute_name string",
+    )
+    assert tables.select_described(iris, described, 1).columns == ["petal_width", "species"]
+    assert tables.select_described(iris, described, 9).columns == []
+
+
+def test_written_does_not_overwrite(spark, tmp_path):
+    tables.written(spark.range(3), str(tmp_path / "t"))
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        tables.written(spark.range(4), str(tmp_path / "t"))
+    assert tables.written(spark.range(4), str(tmp_path / "t"), mode="overwrite").count() == 4
+
+
+def test_neighbours_with_missing_statistics(spark):
+    rows = [(1, "ab", 1.0, "x"), (2, "ab", None, "y"), (3, "abc", float("nan"), "x"), (4, None, 2.0, "x")]
+    df = spark.createDataFrame(rows, "id int, name string, s double, label string")
+    columns = neighbours.PointColumns("id", "name", ["s"], "label")
+    got = neighbours.nearest(df, df, columns, k=4).collect()
+    assert {r.query_id for r in got} == {1, 2, 3, 4} and len(got) == 16
+    predicted = {r.query_id: r.predicted for r in neighbours.predict_label(df, df, columns, k=3).collect()}
+    assert predicted.keys() == {1, 2, 3, 4} and set(predicted.values()) <= {"x", "y"}
