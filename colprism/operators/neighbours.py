@@ -9,6 +9,10 @@ The distance is a metric, so the triangle inequality can rule out most points un
    into the nearest block tightens the radius.
 4. A query visits only the blocks that its radius can reach; a visit yields at most k rows.
 
+Edit and Euclidean distances to the pivots are kept apart, so that the one index bounds the
+distance for every alpha: a search for many alphas places, looks and visits once, with a
+radius for each.
+
 Identical training points beyond the first k can never be chosen (ties go to the smaller
 id) and are dropped; identical queries are answered once.  So copies, however many, load
 neither a block nor a task.
@@ -16,8 +20,10 @@ neither a block nor a task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,13 +31,15 @@ from pyspark.sql import functions as F
 from colprism.fixed_values import NEIGHBOUR_ALPHAS, NEIGHBOUR_COUNTS
 from colprism.functions.cells import quoted
 from colprism.functions.constants import sql_double, sql_doubles, sql_text, struct_array
-from colprism.functions.distances import combined_distance, edit_distance_up_to, euclidean_of
+from colprism.functions.distances import edit_distance, edit_distance_up_to, euclidean_distance, euclidean_of
 from colprism.functions.numeric import text_or_nan
 from colprism.operators.evaluate import best_of_grid, hit_rate
 from colprism.operators.folds import shuffle_hash
 
 _RINGS_PER_OCTAVE = 8
 _RING_LIMIT = 160
+#: Stands for a missing group, which is one of its own.
+_NO_GROUP = -(1 << 31)
 
 
 @dataclass(frozen=True)
@@ -48,14 +56,14 @@ class PointColumns:
     label: str | None = None
     group: str | None = None
 
-    def points(self, df: DataFrame, alpha: float) -> DataFrame:
+    def points(self, df: DataFrame, with_stats: bool) -> DataFrame:
         # Without weight the statistics do not tell points apart.
-        used = [] if alpha == 0 else self.stats
+        used = self.stats if with_stats else []
         # A missing statistic counts as 0; every row has a distance to every other.
         filled = [F.coalesce(F.nanvl(quoted(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in used]
         x = F.array(*filled).cast("array<double>")
         label = F.lit(None).cast("int") if self.label is None else quoted(self.label)
-        group = F.lit(0) if self.group is None else quoted(self.group).cast("int")
+        group = F.lit(0) if self.group is None else F.coalesce(quoted(self.group).cast("int"), F.lit(_NO_GROUP))
         return df.select(
             quoted(self.row_id).alias("id"),
             text_or_nan(quoted(self.name)).alias("name"),
@@ -65,23 +73,48 @@ class PointColumns:
         )
 
 
+def _weighed(alpha: float, euclid: Column, edit: Column) -> Column:
+    return edit if alpha == 0 else F.lit(float(alpha)) * euclid + edit
+
+
 @dataclass(frozen=True)
 class _Index:
-    """What the driver holds: pivots and ring sizes, bounded whatever the table's size."""
+    """What the driver holds: pivots and ring sizes, bounded whatever the table's size.
+
+    Cells and rings go by the middle alpha; ranges and reach are known for each.
+    """
 
-    alpha: float
+    alphas: list[float]
     k: int
     pivots: list[tuple[str, list[float]]]
     bands: list[dict]
-    reach: dict[int | None, list[float | None]]
+    reach: dict[int | None, list[list[float | None]]]
+
+    @property
+    def base(self) -> int:
+        return sorted(range(len(self.alphas)), key=lambda i: self.alphas[i])[len(self.alphas) // 2]
 
     def pivot_distances(self) -> Column:
+        """An array of (edit, euclid)."""
         pivots = struct_array([{"name": sql_text(n), "x": sql_doubles(x)} for n, x in self.pivots])
         return F.transform(
             pivots,
-            lambda p: combined_distance(F.col("name"), F.col("x"), p["name"], p["x"], self.alpha),
+            lambda p: F.struct(
+                edit_distance(F.col("name"), p["name"]).cast("double").alias("edit"),
+                euclidean_distance(F.col("x"), p["x"]).alias("euclid"),
+            ),
         )
 
+    def each(self, of: Callable[[int, float], Column]) -> list[Column]:
+        return [of(i, alpha) for i, alpha in enumerate(self.alphas)]
+
+    def any(self, of: Callable[[int, float], Column]) -> Column:
+        return reduce(or_, self.each(of))
+
+
+def _radius(i: int) -> Column:
+    return F.get("radii", F.lit(i))
+
 
 def _choose_pivots(train: DataFrame, count: int) -> list[tuple[str, list[float]]]:
     """Different points of lowest hash; ``8 * count`` rows reach the driver at most."""
@@ -91,33 +124,43 @@ def _choose_pivots(train: DataFrame, count: int) -> list[tuple[str, list[float]]
 
 
 def _placed(points: DataFrame, index: _Index) -> DataFrame:
-    """Adds cell, distance to its pivot and ring (eight rings per doubling of distance)."""
-    ring = F.floor(F.log2("r") * _RINGS_PER_OCTAVE)
+    """Adds cell, both distances to its pivot and ring (eight rings per doubling of distance)."""
+    alpha = index.alphas[index.base]
+    near = F.array_min(
+        F.transform(
+            index.pivot_distances(),
+            lambda d, i: F.struct(
+                _weighed(alpha, d["euclid"], d["edit"]).alias("r"), i.alias("cell"),
+                d["edit"].alias("edit"), d["euclid"].alias("euclid"),
+            ),
+        )
+    )
+    ring = F.floor(F.log2("near.r") * _RINGS_PER_OCTAVE)
     bounded = F.greatest(F.least(ring, F.lit(_RING_LIMIT)), F.lit(-_RING_LIMIT))
-    return (
-        points.withColumn("to_pivots", index.pivot_distances())
-        .withColumn("r", F.array_min("to_pivots"))
-        .withColumn("cell", (F.array_position("to_pivots", F.col("r")) - 1).cast("int"))
-        .withColumn("ring", F.when(F.col("r") <= 0, F.lit(-_RING_LIMIT - 1)).otherwise(bounded).cast("int"))
-        .drop("to_pivots")
+    return points.withColumn("near", near).select(
+        *points.columns,
+        "near.cell", "near.edit", "near.euclid",
+        F.when(F.col("near.r") <= 0, F.lit(-_RING_LIMIT - 1)).otherwise(bounded).cast("int").alias("ring"),
     )
 
 
 def _survey(placed: DataFrame, index: _Index, block_rows: int, grouped: bool) -> _Index:
     """Bands of neighbouring rings with their ranges, and how far from a pivot its k-th
-    point can be.
+    point can be, for each alpha.
 
     The collected table has one row per pivot, ring and group; rings are limited in number.
     """
+    r = index.each(lambda _, alpha: _weighed(alpha, F.col("euclid"), F.col("edit")))
     counted = placed.groupBy("cell", "ring", "grp").agg(
-        F.count(F.lit(1)).alias("n"), F.min("r").alias("low"), F.max("r").alias("high")
+        F.count(F.lit(1)).alias("n"),
+        F.array(*map(F.min, r)).alias("low"),
+        F.array(*map(F.max, r)).alias("high"),
     ).collect()
     bands: list[dict] = []
     for ring in _merged(counted):
         last = bands[-1] if bands else None
         if last and last["cell"] == ring["cell"] and last["n"] + ring["n"] <= block_rows:
-            last["n"] += ring["n"]
-            last["high"] = ring["high"]
+            _widen(last, ring)
             last["rings"].append(ring["ring"])
         else:
             bands.append(ring | {"band": len(bands), "rings": [ring["ring"]]})
@@ -127,7 +170,13 @@ def _survey(placed: DataFrame, index: _Index, block_rows: int, grouped: bool) ->
     if grouped:
         for own in {c["grp"] for c in counted}:
             reach[own] = _reach([c for c in counted if c["grp"] != own], index)
-    return _Index(index.alpha, index.k, index.pivots, bands, reach)
+    return _Index(index.alphas, index.k, index.pivots, bands, reach)
+
+
+def _widen(ring: dict, by) -> None:
+    ring["n"] += by["n"]
+    ring["low"] = list(map(min, ring["low"], by["low"]))
+    ring["high"] = list(map(max, ring["high"], by["high"]))
 
 
 def _merged(counted: list) -> list[dict]:
@@ -138,38 +187,48 @@ def _merged(counted: list) -> list[dict]:
             (c["cell"], c["ring"]),
             {"cell": c["cell"], "ring": c["ring"], "n": 0, "low": c["low"], "high": c["high"]},
         )
-        ring["n"] += c["n"]
-        ring["low"], ring["high"] = min(ring["low"], c["low"]), max(ring["high"], c["high"])
+        _widen(ring, c)
     return list(rings.values())
 
 
-def _reach(counted: list, index: _Index) -> list[float | None]:
-    """Per pivot a distance within which its cell has k points; None if it has fewer."""
-    far: list[float | None] = [None] * len(index.pivots)
-    seen = [0] * len(index.pivots)
-    for c in sorted(counted, key=lambda c: c["high"]):
-        cell = c["cell"]
-        seen[cell] += c["n"]
-        if far[cell] is None and seen[cell] >= index.k:
-            far[cell] = c["high"]
-    return far
+def _reach(counted: list, index: _Index) -> list[list[float | None]]:
+    """Per alpha and pivot a distance within which its cell has k points; None if it has fewer."""
+    out = []
+    for i in range(len(index.alphas)):
+        far: list[float | None] = [None] * len(index.pivots)
+        seen = [0] * len(index.pivots)
+        for c in sorted(counted, key=lambda c: c["high"][i]):
+            cell = c["cell"]
+            seen[cell] += c["n"]
+            if far[cell] is None and seen[cell] >= index.k:
+                far[cell] = c["high"][i]
+        out.append(far)
+    return out
 
 
 def _located(queries: DataFrame, index: _Index, grouped: bool) -> DataFrame:
-    """Adds the distances to the pivots, and a radius from the ring sizes alone."""
+    """Adds the distances to the pivots, and a radius for each alpha from the ring sizes alone."""
     reach = struct_array(
         [
-            {"grp": "cast(null AS int)" if g is None else str(g), "far": sql_doubles(far)}
+            {
+                "grp": "cast(null AS int)" if g is None else f"cast({g} AS int)",
+                "far": f"array({', '.join(map(sql_doubles, far))})",
+            }
             for g, far in index.reach.items()
         ]
     )
     anyone = F.get(F.filter(reach, lambda e: e["grp"].isNull()), F.lit(0))["far"]
     own = F.get(F.filter(reach, lambda e: e["grp"] == F.col("grp")), F.lit(0))["far"]
     far = F.coalesce(own, anyone) if grouped else anyone
-    surely = F.array_min(F.zip_with(F.col("to_pivots"), far, lambda d, f: d + f))
-    return queries.withColumn("to_pivots", index.pivot_distances()).withColumn(
-        "radius", F.coalesce(surely, F.lit(float("inf")))
-    )
+
+    def surely(i: int, alpha: float) -> Column:
+        reached = F.zip_with(
+            F.col("to_pivots"), F.get(far, F.lit(i)), lambda d, f: _weighed(alpha, d["euclid"], d["edit"]) + f
+        )
+        return F.coalesce(F.array_min(reached), F.lit(float("inf")))
+
+    located = queries.withColumn("to_pivots", index.pivot_distances())
+    return located.withColumn("radii", F.array(*index.each(surely)))
 
 
 def _bands(index: _Index) -> Column:
@@ -178,8 +237,8 @@ def _bands(index: _Index) -> Column:
             {
                 "cell": str(b["cell"]),
                 "band": str(b["band"]),
-                "low": sql_double(b["low"]),
-                "high": sql_double(b["high"]),
+                "low": sql_doubles(b["low"]),
+                "high": sql_doubles(b["high"]),
                 "parts": str(b["parts"]),
             }
             for b in index.bands
@@ -187,48 +246,57 @@ def _bands(index: _Index) -> Column:
     )
 
 
-def _gap(band: Column) -> Column:
+def _to_pivot(alpha: float, band: Column) -> Column:
+    d = F.get("to_pivots", band["cell"])
+    return _weighed(alpha, d["euclid"], d["edit"])
+
+
+def _gap(i: int, alpha: float, band: Column) -> Column:
     """How far a query's distance to the pivot is from the range of a band."""
-    d = F.get(F.col("to_pivots"), band["cell"])
-    return F.greatest(band["low"] - d, d - band["high"], F.lit(0.0))
+    d = _to_pivot(alpha, band)
+    return F.greatest(F.get(band["low"], F.lit(i)) - d, d - F.get(band["high"], F.lit(i)), F.lit(0.0))
 
 
-def _distances(index: _Index, dims: int, grouped: bool) -> Column:
-    """(distance, id, label) of the points of the joined block within the radius.
+def _found(index: _Index, dims: int, grouped: bool) -> Column:
+    """(euclid, edit, id, label) of the points of the joined block within the radius of any alpha.
 
     One step per test, cheapest first, so that no step computes anything twice.
     """
 
     def possible(p: Column) -> Column:
-        near = F.abs(F.col("d") - p["r"]) <= F.col("radius")
+        euclid, edit = F.abs(F.col("d.euclid") - p["euclid"]), F.abs(F.col("d.edit") - p["edit"])
+        near = index.any(lambda i, alpha: _weighed(alpha, euclid, edit) <= _radius(i))
         return near & (p["grp"] != F.col("grp")) if grouped else near
 
     def with_euclid(p: Column) -> Column:
-        base = F.lit(float(index.alpha)) * euclidean_of(F.col("x"), p["x"], dims)
-        return F.struct(base.alias("base"), p["name"].alias("name"), p["id"].alias("id"), p["label"].alias("label"))
+        euclid = euclidean_of(F.col("x"), p["x"], dims)
+        return F.struct(euclid.alias("euclid"), p["name"].alias("name"), p["id"].alias("id"), p["label"].alias("label"))
 
-    def with_edit(p: Column) -> Column:
-        room = F.floor(F.least(F.col("radius") - p["base"], F.lit(1e9))).cast("int")
-        edit = edit_distance_up_to(F.col("name"), p["name"], room)
-        return F.struct(p["base"].alias("base"), edit.alias("edit"), p["id"].alias("id"), p["label"].alias("label"))
+    def room(p: Column) -> Column:
+        return F.array_max(F.array(*index.each(lambda i, alpha: _radius(i) - _weighed(alpha, p["euclid"], F.lit(0.0)))))
 
-    def summed(p: Column) -> Column:
-        total = p["base"] + p["edit"].cast("double")
-        return F.struct(total.alias("distance"), p["id"].alias("id"), p["label"].alias("label"))
+    def with_edit(p: Column) -> Column:
+        limit = F.floor(F.least(room(p), F.lit(1e9))).cast("int")
+        edit = edit_distance_up_to(F.col("name"), p["name"], limit)
+        return F.struct(p["euclid"].alias("euclid"), edit.alias("edit"), p["id"].alias("id"), p["label"].alias("label"))
 
     by_euclid = F.transform(F.filter("points", possible), with_euclid)
-    close = F.filter(by_euclid, lambda p: p["base"] <= F.col("radius"))
-    found = F.filter(F.transform(close, with_edit), lambda p: p["edit"] >= 0)
-    return F.transform(found, summed)
+    close = F.filter(by_euclid, lambda p: room(p) >= 0)
+    return F.filter(F.transform(close, with_edit), lambda p: p["edit"] >= 0)
+
+
+def _total(alpha: float, p: Column) -> Column:
+    return _weighed(alpha, p["euclid"], p["edit"].cast("double"))
 
 
 def _tightened(located: DataFrame, blocks: DataFrame, index: _Index, dims: int, grouped: bool) -> DataFrame:
-    """Replaces the radius by the k-th distance found in the one block next to the query."""
+    """Replaces each radius by the k-th distance found in the one block next to the query."""
+    i, alpha = index.base, index.alphas[index.base]
     here = F.array_min(
         F.transform(
             _bands(index),
             lambda b: F.struct(
-                (_gap(b) + F.get("to_pivots", b["cell"])).alias("gap"),
+                (_gap(i, alpha, b) + _to_pivot(alpha, b)).alias("gap"),
                 b["band"].alias("band"), b["parts"].alias("parts"), b["cell"].alias("cell"),
             ),
         )
@@ -239,22 +307,23 @@ def _tightened(located: DataFrame, blocks: DataFrame, index: _Index, dims: int,
         .withColumn("part", F.pmod(F.xxhash64("name"), F.col("here.parts")).cast("int"))
         .withColumn("d", F.get("to_pivots", F.col("here.cell")))
     )
-    kth = F.get(
-        F.array_sort(F.transform(_distances(index, dims, grouped), lambda e: e["distance"])),
-        F.lit(index.k - 1),
-    )
-    # The slack covers rounding in the triangle inequality.
-    slack = F.lit(1e-9) * (F.lit(1.0) + F.array_max("to_pivots"))
-    return home.join(blocks, ["band", "part"], "left").select(
-        "id", "name", "x", "grp", "to_pivots", (F.least(kth, F.col("radius")) + slack).alias("radius")
-    )
+
+    def radius(i: int, alpha: float) -> Column:
+        kth = F.get(F.array_sort(F.transform("found", lambda p: _total(alpha, p))), F.lit(index.k - 1))
+        # The slack covers rounding in the triangle inequality.
+        far = F.array_max(F.transform("to_pivots", lambda d: _weighed(alpha, d["euclid"], d["edit"])))
+        return F.least(kth, _radius(i)) + F.lit(1e-9) * (F.lit(1.0) + far)
+
+    looked = home.join(blocks, ["band", "part"], "left").withColumn("found", _found(index, dims, grouped))
+    return looked.select("id", "name", "x", "grp", "to_pivots", F.array(*index.each(radius)).alias("radii"))
 
 
 def _visits(located: DataFrame, index: _Index) -> DataFrame:
     """(query and the blocks it must look into)."""
+    reached = F.filter(_bands(index), lambda b: index.any(lambda i, alpha: _gap(i, alpha, b) <= _radius(i)))
     wanted = F.flatten(
         F.transform(
-            F.filter(_bands(index), lambda b: _gap(b) <= F.col("radius")),
+            reached,
             lambda b: F.transform(
                 F.sequence(F.lit(0), b["parts"] - 1),
                 lambda part: F.struct(
@@ -264,36 +333,52 @@ def _visits(located: DataFrame, index: _Index) -> DataFrame:
         )
     )
     return located.select(
-        "id", "name", "x", "grp", "to_pivots", "radius", F.explode(wanted).alias("b")
+        "id", "name", "x", "grp", "to_pivots", "radii", F.explode(wanted).alias("b")
     ).select(
-        "id", "name", "x", "grp", "radius", "b.band", "b.part",
+        "id", "name", "x", "grp", "radii", "b.band", "b.part",
         F.get("to_pivots", F.col("b.cell")).alias("d"),
     )
 
 
-def nearest(
+def _best(index: _Index) -> Column:
+    """(alpha, distance, id, label): up to k of the points found, for each alpha."""
+
+    def best(i: int, alpha: float) -> Column:
+        summed = F.transform(
+            "found", lambda p: F.struct(_total(alpha, p).alias("distance"), p["id"].alias("id"), p["label"].alias("label"))
+        )
+        within = F.slice(F.array_sort(F.filter(summed, lambda p: p["distance"] <= _radius(i))), 1, index.k)
+        return F.transform(within, lambda p: F.struct(F.lit(float(alpha)).alias("alpha"), p.alias("p")))
+
+    return F.flatten(F.array(*index.each(best)))
+
+
+def nearest_by_alpha(
     queries: DataFrame,
     train: DataFrame,
     columns: PointColumns,
     *,
     k: int,
-    alpha: float = 1.0,
+    alphas: Sequence[float],
     query_columns: PointColumns | None = None,
     pivots: int = 32,
     block_rows: int = 256,
 ) -> DataFrame:
-    """(query_id, place, neighbour_id, distance, label): the k nearest training rows of
-    every query, ties by neighbour id."""
+    """(query_id, alpha, place, neighbour_id, distance, label): the k nearest training rows of
+    every query for every alpha, ties by neighbour id.  One index and one visit join serve all."""
     grouped = columns.group is not None
-    asked = (query_columns or columns).points(queries, alpha)
+    alphas = list(dict.fromkeys(map(float, alphas)))
+    if not alphas:
+        raise ValueError("there are no alphas")
+    asked = (query_columns or columns).points(queries, any(alphas))
     copies = Window.partitionBy("name", "x", "grp").orderBy("id")
     points = (
-        columns.points(train, alpha)
+        columns.points(train, any(alphas))
         .withColumn("copy", F.row_number().over(copies))
         .where(F.col("copy") <= k)
         .drop("copy")
     )
-    index = _Index(alpha, k, _choose_pivots(points, pivots), [], {})
+    index = _Index(alphas, k, _choose_pivots(points, pivots), [], {})
     if not index.pivots:
         raise ValueError("there are no training rows")
     placed = _placed(points, index)
@@ -310,19 +395,18 @@ def nearest(
         .withColumn("part", F.pmod(F.xxhash64("id", "name"), F.col("parts")).cast("int"))
         .groupBy("band", "part")
         # About block_rows points each, spread by hash.
-        .agg(F.collect_list(F.struct("r", "id", "name", "x", "grp", "label")).alias("points"))
+        .agg(F.collect_list(F.struct("edit", "euclid", "id", "name", "x", "grp", "label")).alias("points"))
     )
 
-    dims = 0 if alpha == 0 else len(columns.stats)
+    dims = len(columns.stats) if any(alphas) else 0
     askers = asked.groupBy("name", "x", "grp").agg(F.min("id").alias("id"))
     located = _tightened(_located(askers, index, grouped), blocks, index, dims, grouped)
-    visits = _visits(located, index)
-    best_in_block = F.slice(F.array_sort(_distances(index, dims, grouped)), 1, k)
-    order = Window.partitionBy("query").orderBy("distance", "neighbour_id")
+    order = Window.partitionBy("query", "alpha").orderBy("distance", "neighbour_id")
     answers = (
-        visits.join(blocks, ["band", "part"])
-        .select(F.col("id").alias("query"), F.explode(best_in_block).alias("n"))
-        .select("query", F.col("n.distance"), F.col("n.id").alias("neighbour_id"), F.col("n.label"))
+        _visits(located, index).join(blocks, ["band", "part"])
+        .withColumn("found", _found(index, dims, grouped))
+        .select(F.col("id").alias("query"), F.explode(_best(index)).alias("n"))
+        .select("query", "n.alpha", "n.p.distance", F.col("n.p.id").alias("neighbour_id"), "n.p.label")
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= k)
     )
@@ -330,20 +414,38 @@ def nearest(
         asked.select(F.col("id").alias("query_id"), "name", "x", "grp")
         .join(askers.withColumnRenamed("id", "query"), ["name", "x", "grp"])
         .join(answers, "query")
-        .select("query_id", "place", "neighbour_id", "distance", "label")
+        .select("query_id", "alpha", "place", "neighbour_id", "distance", "label")
     )
 
 
-def vote(neighbours: DataFrame, counts: Sequence[int]) -> DataFrame:
-    """(query_id, k, predicted): most frequent label among the first k, the smallest on ties."""
+def nearest(
+    queries: DataFrame,
+    train: DataFrame,
+    columns: PointColumns,
+    *,
+    k: int,
+    alpha: float = 1.0,
+    query_columns: PointColumns | None = None,
+    pivots: int = 32,
+    block_rows: int = 256,
+) -> DataFrame:
+    """(query_id, place, neighbour_id, distance, label): the k nearest training rows of
+    every query, ties by neighbour id."""
+    return nearest_by_alpha(
+        queries, train, columns, k=k, alphas=[alpha], query_columns=query_columns, pivots=pivots, block_rows=block_rows
+    ).drop("alpha")
+
+
+def vote(neighbours: DataFrame, counts: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
+    """(query_id, <by>, k, predicted): most frequent label among the first k, the smallest on ties."""
     ks = F.filter(
         F.array(*[F.lit(k) for k in counts]), lambda k: k >= F.col("place")
     )
     return (
-        neighbours.select("query_id", "label", F.explode(ks).alias("k"))
-        .groupBy("query_id", "k", "label")
+        neighbours.select("query_id", *by, "label", F.explode(ks).alias("k"))
+        .groupBy("query_id", *by, "k", "label")
         .agg(F.count(F.lit(1)).alias("votes"))
-        .groupBy("query_id", "k")
+        .groupBy("query_id", *by, "k")
         .agg(F.min_by("label", F.struct(-F.col("votes"), "label")).alias("predicted"))
     )
 
@@ -357,6 +459,23 @@ def predict_label(
     return vote(found, [k]).drop("k")
 
 
+def _scores(
+    queries: DataFrame, train: DataFrame, columns: PointColumns, alphas: Sequence[float], counts: Sequence[int],
+    by: Sequence[Column] = (),
+) -> DataFrame:
+    """(<by>, alpha, k, accuracy); ``by`` are columns of ``queries``."""
+    truth = queries.select(
+        quoted(columns.row_id).alias("query_id"), quoted(columns.label).alias("actual"), *by
+    )
+    found = nearest_by_alpha(queries, train, columns, k=max(counts), alphas=alphas)
+    return (
+        vote(found, counts, ["alpha"])
+        .join(truth, "query_id")
+        .groupBy(*[c for c in truth.columns if c not in ("query_id", "actual")], "alpha", "k")
+        .agg(hit_rate(F.col("actual"), F.col("predicted")).alias("accuracy"))
+    )
+
+
 def neighbour_grid(
     train: DataFrame,
     columns: PointColumns,
@@ -366,26 +485,12 @@ def neighbour_grid(
 ) -> DataFrame:
     """(fold, alpha, k, accuracy): every fold predicted from the other folds.
 
-    ``columns.group`` is the fold.  One neighbour search per alpha serves all folds and k.
+    ``columns.group`` is the fold.  One neighbour search serves all alphas, folds and k.
     """
     if columns.group is None or columns.label is None:
         raise ValueError("the grid needs a label and a fold column")
-    truth = train.select(
-        quoted(columns.row_id).alias("query_id"),
-        quoted(columns.group).cast("int").alias("fold"),
-        quoted(columns.label).alias("actual"),
-    )
-    scores = None
-    for alpha in alphas:
-        found = nearest(train, train, columns, k=max(counts), alpha=alpha)
-        part = (
-            vote(found, counts)
-            .join(truth, "query_id")
-            .groupBy("fold", F.lit(float(alpha)).alias("alpha"), "k")
-            .agg(hit_rate(F.col("actual"), F.col("predicted")).alias("accuracy"))
-        )
-        scores = part if scores is None else scores.unionByName(part)
-    return scores
+    fold = quoted(columns.group).cast("int").alias("fold")
+    return _scores(train, train, columns, alphas, counts, [fold]).select("fold", "alpha", "k", "accuracy")
 
 
 def best_neighbour_settings(scores: DataFrame) -> DataFrame:
@@ -403,23 +508,9 @@ def cross_validated_neighbours(
 ) -> DataFrame:
     """(fold, alpha, k, validation, test): tune on each fold, then score on the test rows
     with all training rows as neighbours."""
-    best = best_neighbour_settings(
-        neighbour_grid(train, columns, alphas=alphas, counts=counts)
-    ).collect()  # one row per fold
+    best = best_neighbour_settings(neighbour_grid(train, columns, alphas=alphas, counts=counts))
     plain = PointColumns(columns.row_id, columns.name, columns.stats, columns.label)
-    truth = test.select(
-        quoted(columns.row_id).alias("query_id"), quoted(columns.label).alias("actual")
-    )
-    tested = {}
-    for alpha, k in sorted({(b["alpha"], b["k"]) for b in best}):
-        guessed = predict_label(test, train, plain, k=k, alpha=alpha)
-        row = guessed.join(truth, "query_id").agg(
-            hit_rate(F.col("actual"), F.col("predicted")).alias("a")
-        ).first()
-        tested[alpha, k] = row["a"]
-    rows = [
-        (b["fold"], b["alpha"], b["k"], b["accuracy"], tested[b["alpha"], b["k"]]) for b in best
-    ]
-    return train.sparkSession.createDataFrame(
-        rows, "fold int, alpha double, k int, validation double, test double"
+    tested = _scores(test, train, plain, alphas, counts).withColumnRenamed("accuracy", "test")
+    return best.withColumnRenamed("accuracy", "validation").join(tested, ["alpha", "k"], "left").select(
+        "fold", "alpha", "k", "validation", "test"
     )

@@ -173,12 +173,14 @@ def forest_grid(
     trees: Sequence[int] = FOREST_TREES,
     depths: Sequence[int] = FOREST_DEPTHS,
 ) -> list[Candidate]:
+    """Every number of trees with every depth that can be fitted; depths beyond the limit are the limit, once."""
+    fitted = dict.fromkeys(min(d, _MAX_TREE_DEPTH) for d in depths)
     return [
         Candidate(
             {"trees": float(t), "depth": float(d)}, lambda rows, t=t, d=d: forest(t, d, label)
         )
         for t in trees
-        for d in depths
+        for d in fitted
     ]
 
 
