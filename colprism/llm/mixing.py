@@ -17,6 +17,8 @@ SHARD = 1024
 SEED = 20_240
 #: Parts of a source's word stream that are summed on their own.
 PARTS = 1 << 16
+#: Parts next to each other that are summed up together first.
+_NEAR = 1 << 8
 _WALK = 33
 _STRETCH = 4096
 
@@ -62,11 +64,16 @@ def placed(rows: DataFrame) -> DataFrame:
     """``rows`` with ``start``: how many words of its source come before a row.
 
     The rows of a source are in a pseudorandom order.  Sums run within parts of the
-    source and over the parts, so no source is in one task.
+    source, over parts next to each other, and over these groups of parts, so no source
+    is in one task.
     """
+    earlier = lambda order, *by: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("src", "part").agg(F.sum("size").alias("words"))
-    running = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("src", "part", F.coalesce(F.sum("words").over(running), F.lit(0)).alias("base"))
+    parts = parts.withColumn("near", F.floor(F.col("part") / _NEAR))
+    far = parts.groupBy("src", "near").agg(F.sum("words").alias("words"))
+    far = far.select("src", "near", F.coalesce(F.sum("words").over(earlier("near", "src")), F.lit(0)).alias("far"))
+    parts = parts.withColumn("base", F.coalesce(F.sum("words").over(earlier("part", "src", "near")), F.lit(0)))
+    parts = parts.join(far, ["src", "near"]).select("src", "part", (F.col("far") + F.col("base")).alias("base"))
     inside = Window.partitionBy("src", "part").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("size").over(inside), F.lit(0))
     return rows.withColumn("before", before).join(parts, ["src", "part"]).withColumn(
