@@ -220,8 +220,9 @@ def revisits(records: DataFrame) -> DataFrame:
     response and the others revisit it.  Records that repeat an id and a payload are one
     and the same; a null id is larger than any other.
     """
-    first = records.groupBy("payload_digest", "payload_bytes").agg(F.min("id").alias("first"))
-    both = records.join(first, ["payload_digest", "payload_bytes"])
+    # Stored, so that its true size decides whether it is broadcast; what Python returns is taken to be as small as its input.
+    first = stored(records.groupBy("payload_digest", "payload_bytes").agg(F.min("id").alias("first")))
+    both = records.join(first, ["payload_digest", "payload_bytes"], "left")
     again = ~F.col("id").eqNullSafe(F.col("first"))
     return both.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn(
         "refers_to", F.when(again, F.col("first"))
@@ -241,6 +242,6 @@ def archived(pages: DataFrame, id: str = "page_id", url: str = "url", payload: s
     records = read_archives(archives, f"{folder}/archives", payloads=False)
     kind = narrowed(pages, id=id).schema["id"].dataType
     records = records.drop("payload").withColumn("id", F.nullif("id", F.lit("")).cast(kind))
-    return revisits(records).select(
+    return revisits(stored(records)).select(
         F.col("id").alias(id), "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset", "length"
     )
