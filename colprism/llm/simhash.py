@@ -153,7 +153,8 @@ def near_duplicates(
     nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(near_fingerprints(nodes, max_bits))
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    placed = placed.select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    # Stored, as it is read three times and its plan has a join for each round.
+    placed = stored(placed.select("fp", "least", F.coalesce("root", "fp").alias("root")))
     joined = placed.where("root <> fp").select("root").distinct()
     small = placed.join(joined, "root").groupBy("root").agg(F.min("least").alias("component"))
     of = placed.join(small, "root", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
@@ -168,9 +169,11 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     Rows that repeat an id count as one and the same document.  Rows with a null id are
     documents of their own and stay.
     """
-    found = near_duplicates(docs, id, text).select(F.col(id).alias("__id"), "component_id")
-    gone = found.where(F.col("component_id") < F.col("__id")).select("__id").distinct()
-    left = docs.join(gone, column(id) == gone["__id"], "left_anti")
-    again = found.where("__id IS NOT NULL").groupBy("__id").count().where("count > 1").select("__id")
-    repeated = left.join(again, column(id) == again["__id"], "left_semi").dropDuplicates([id])
-    return left.join(again, column(id) == again["__id"], "left_anti").unionByName(repeated)
+    found = near_duplicates(docs, id, text).select(F.col(id).alias("__id"), "component_id").where("__id IS NOT NULL")
+    marks = found.groupBy("__id").agg(F.min("component_id").alias("__least"), F.count(F.lit(1)).alias("__rows"))
+    # Only ids of rows that go or that are repeated; all other rows stay as they are.
+    marks = stored(marks.where("__least < __id OR __rows > 1"))
+    left = docs.join(marks, column(id) == marks["__id"], "left").where("__id IS NULL OR __least >= __id")
+    own = [column(c) for c in docs.columns]
+    repeated = left.where("__rows > 1").select(*own).dropDuplicates([id])
+    return left.where("__rows IS NULL").select(*own).unionByName(repeated)
