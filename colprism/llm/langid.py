@@ -180,16 +180,41 @@ def train(rows: DataFrame) -> Model | None:
     """A model from rows text, lang, draw; ``draw`` orders the rows of a language, and the first ones are taken."""
     order = Window.partitionBy("lang").orderBy("draw", "text")
     drawn = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= FIT_ROWS + CALIBRATION_ROWS)
-    got = drawn.select("text", "lang", "rank").mapInArrow(
+    features = drawn.select("text", "lang", "rank").mapInArrow(
         _features, "lang string, rank int, text binary, at binary, n binary"
     )
-    got = sorted(got.collect(), key=lambda r: (r.lang, r["rank"], bytes(r.text), bytes(r.at), bytes(r.n)))
-    labels = sorted({r.lang for r in got})
+    # The sample is bounded: one task learns from it, and the driver sees the model alone.
+    learnt = features.repartition(1).mapInArrow(
+        _learnt, "labels array<string>, shape array<int>, table binary, bias binary, temperature double, threshold double"
+    )
+    for r in learnt.collect():
+        table = np.frombuffer(r["table"]).reshape(r["shape"])
+        return Model(list(r.labels), table, np.frombuffer(r.bias), r.temperature, r.threshold)
+    return None
+
+
+def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of the rows of ``_features``; none if there are none."""
+    got = [r for b in batches for r in b.to_pylist()]
+    got.sort(key=lambda r: (r["lang"], r["rank"], r["text"], r["at"], r["n"]))
+    labels = sorted({r["lang"] for r in got})
     if not labels:
-        return None
-    fitted = [(r.lang, np.frombuffer(r.at, "<i4"), np.frombuffer(r.n, "<i8").astype(float)) for r in got if r["rank"] <= FIT_ROWS]
-    rest = [(r.lang, bytes(r.text)) for r in got if r["rank"] > FIT_ROWS]
-    return calibrated(fit(fitted, labels), rest)
+        return
+    fitted = [
+        (r["lang"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i8").astype(float)) for r in got if r["rank"] <= FIT_ROWS
+    ]
+    rest = [(r["lang"], r["text"]) for r in got if r["rank"] > FIT_ROWS]
+    model = calibrated(fit(fitted, labels), rest)
+    row = {
+        "labels": labels,
+        "shape": list(model.table.shape),
+        "table": model.table.tobytes(),
+        "bias": model.bias.tobytes(),
+        "temperature": model.temperature,
+        "threshold": model.threshold,
+    }
+    kinds = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds)], list(row))
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
