@@ -9,12 +9,9 @@ from pyspark.sql import functions as F
 
 from catalog import sql
 from colprism.fixed_values import (
-    NEIGHBOUR_ALPHAS,
-    NEIGHBOUR_COUNTS,
     STATS_19,
     STATS_19_SCALED,
     STATS_25,
-    UNPRINTABLE_PATTERN,
 )
 from colprism.functions.cells import quoted
 from colprism.functions.numeric import abs_limit_1000, abs_limit_10000
@@ -26,7 +23,7 @@ from colprism.operators.samplefeatures import sample_features
 from colprism.operators.sampling import filled_samples, sample_rows, sample_values
 from colprism.plans import classify
 from colprism.plans.extract import extract_features, featurize_table
-from colprism.sources.tables import union_all
+from colprism.sources.tables import select_described, union_all
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,7 +66,9 @@ for _t in ("lineitem", "orders", "events", "customer", "part"):
         lambda spark, d, t=_t: steadied(profile(table(spark, d, t)))
     )
 
-query("profile_wide_customer")(lambda spark, d: profile_wide(table(spark, d, "customer")))
+query("profile_wide_customer", sql.wide(sql.profile("customer", sql.TABLE_COLUMNS["customer"]), sql.TABLE_COLUMNS["customer"]))(
+    lambda spark, d: steadied(profile_wide(table(spark, d, "customer")))
+)
 
 
 @query("profile_melted_supplier", sql.profile("supplier", sql.TABLE_COLUMNS["supplier"], legacy=True))
@@ -115,6 +114,20 @@ query("profile_approx_lineitem")(
 )
 
 
+@query(
+    "profile_approx_close",
+    f'SELECT name, "count", true AS close FROM ({sql.profile("lineitem", sql.TABLE_COLUMNS["lineitem"])})',
+)
+def _(spark, d):
+    """Approximate distinct counts are within a fifth of the exact ones."""
+    rows = table(spark, d, "lineitem")
+    exact = profile(rows).select("name", F.col("distinct").alias("true_distinct"))
+    gap = F.abs(F.col("distinct") - F.col("true_distinct"))
+    return profile(rows, distinct="approx").join(exact, "name").select(
+        "name", "count", (gap <= F.col("true_distinct") * 0.2).alias("close")
+    )
+
+
 @query(
     "profile_custom_aggregate",
     " UNION ALL ".join(
@@ -286,7 +299,7 @@ query(
 
 # ---------------------------------------------------------------- quality, filters, unions
 
-_BAD = f"regexp_matches(coalesce(text, ''), {sql.quote(UNPRINTABLE_PATTERN)})"
+_BAD = f"regexp_matches(coalesce(text, ''), {sql.quote(sql.UNPRINTABLE_PATTERN)})"
 query("bad_rows_mask", f"SELECT doc_id, {_BAD} AS is_bad FROM documents")(
     lambda spark, d: quality.find_bad_rows(table(spark, d, "documents"), ["text"]).select(
         "doc_id", "is_bad"
@@ -300,6 +313,16 @@ query("bad_rows_dropped", f"SELECT doc_id, n_chars FROM documents WHERE NOT {_BA
 query("filter_by_source", "SELECT doc_id, lang FROM documents WHERE source = 'src3'")(
     lambda spark, d: table(spark, d, "documents").where(F.col("source") == "src3").select("doc_id", "lang")
 )
+@query("select_described", "SELECT p_partkey, p_size, p_retailprice FROM part")
+def _(spark, d):
+    """The numeric columns of parts, as a profile describes them."""
+    part = table(spark, d, "part")
+    described = profile(part).select(
+        (F.col("mean") != 0).cast("int").alias("Record_id"), F.col("name").alias("Attribute_name")
+    )
+    return select_described(part, described, 1)
+
+
 query("distinct_sources", "SELECT DISTINCT source FROM documents")(
     lambda spark, d: table(spark, d, "documents").select("source").distinct()
 )
@@ -590,6 +613,23 @@ for _name, _alpha in (("knn_edit", 0.0), ("knn_combined", 1.0)):
     )
 
 
+_HOLED = _POINTS.replace("CAST(p_size AS DOUBLE) AS a", "CAST(CASE WHEN p_size % 7 = 0 THEN 0 ELSE p_size END AS DOUBLE) AS a")
+
+
+@query(
+    "knn_nulls",
+    f"WITH points AS ({_HOLED}) SELECT query_id, place, neighbour_id, round(distance, 6) AS distance "
+    f"FROM ({_nearest_sql(1.0, 3)})",
+)
+def _(spark, d):
+    """Missing statistics, in training rows and in queries, count as 0; no query is lost."""
+    holed = _points(spark, d).withColumn("p_size", F.when(F.col("p_size") % 7 != 0, F.col("p_size")))
+    train, test = folds.holdout_split(holed, "p_partkey")
+    return neighbours.nearest(test, train, _PART_POINT, k=3, alpha=1.0).select(
+        "query_id", "place", "neighbour_id", F.round("distance", 6).alias("distance")
+    )
+
+
 @query(
     "knn_predict",
     f"WITH points AS ({_POINTS}), votes AS (SELECT query_id, label, count(*) AS v FROM ({_nearest_sql(1.0, 5)}) GROUP BY ALL) "
@@ -609,10 +649,10 @@ _GRID_SQL = (
     + " UNION ALL ".join(
         f"SELECT * FROM (SELECT qid, fold, actual, label, CAST({a!r} AS DOUBLE) AS alpha, row_number() OVER "
         f"(PARTITION BY qid ORDER BY e + CAST({a!r} AS DOUBLE) * x, id) AS place FROM pairs) WHERE place <= 10"
-        for a in NEIGHBOUR_ALPHAS
+        for a in sql.ALPHAS
     )
     + "), votes AS (SELECT qid, fold, actual, alpha, CAST(k AS INTEGER) AS k, label, count(*) AS v "
-    f"FROM near JOIN (SELECT unnest({NEIGHBOUR_COUNTS}) AS k) ON place <= k GROUP BY ALL), "
+    f"FROM near JOIN (SELECT unnest({sql.COUNTS}) AS k) ON place <= k GROUP BY ALL), "
     "won AS (SELECT *, row_number() OVER (PARTITION BY qid, alpha, k ORDER BY v DESC, label) AS r FROM votes), "
     "grid AS (SELECT fold, alpha, k, round(avg(CAST(actual = label AS INTEGER)), 8) AS accuracy "
     "FROM won WHERE r = 1 GROUP BY ALL) "

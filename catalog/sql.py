@@ -2,23 +2,42 @@
 
 from __future__ import annotations
 
-from colprism.fixed_values import (
-    COUNT_FEATURES,
-    DATE_SHAPES,
-    DELIMITED_PATTERN,
-    DELIMITER_PATTERN,
-    EMAIL_PATTERN,
-    FLAG_FEATURES,
-    LONGEST_DATE,
-    NAN_TEXT_PATTERN,
-    PROFILE_NAMES,
-    SAMPLE_FEATURE_NAMES,
-    SECOND_FRACTION_PATTERN,
-    STOP_WORDS,
-    TOKEN_PATTERN,
-    URL_PATTERN,
-    YEAR_PATTERN,
-)
+from colprism.fixed_values import COUNT_FEATURES, FLAG_FEATURES, PROFILE_NAMES, SAMPLE_FEATURE_NAMES
+
+# Fixed values, written out here once more so that SQL does not inherit a wrong pattern; the names of
+# columns above are shared.
+DELIMITED_PATTERN = r"^[^,;|]+[,;|][^,;|]"
+DELIMITER_PATTERN = r"[,;|]"
+URL_PATTERN = r"^(http|ftp|https)://[\p{L}\p{N}_-]+\.[\p{L}\p{N}_-]"
+EMAIL_PATTERN = r"^[A-Za-z0-9_][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,6}([^\p{L}\p{N}_]|$)"
+TOKEN_PATTERN = r"'?[\p{L}\p{N}_]+"
+UNPRINTABLE_PATTERN = r"[^\x09-\x0d\x20-\x7e]"
+NAN_TEXT_PATTERN = r"^[\x00-\x20]*([+-]?NaN|[nN][aA][nN])[\x00-\x20]*\z"
+DATE_SHAPES = [
+    (r"^\d{4}-\d{2}-\d{2}\z", "%Y-%m-%d"),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\z", "%Y-%m-%d %H:%M:%S"),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\z", "%Y-%m-%dT%H:%M:%S"),
+    (r"^\d{4}/\d{2}/\d{2}\z", "%Y/%m/%d"),
+    (r"^\d{2}/\d{2}/\d{4}\z", "%m/%d/%Y"),
+    (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}\z", "%b %-d, %Y"),
+    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}\z", "%-d %b %Y"),
+]
+YEAR_PATTERN = r"^[0-9]{4}\z"
+SECOND_FRACTION_PATTERN = r"^(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2})\.\d{1,9}\z"
+LONGEST_DATE = 29
+STOP_WORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his "
+    "himself she her hers herself it its itself they them their theirs themselves what "
+    "which who whom this that these those am is are was were be been being have has had "
+    "having do does did doing a an the and but if or because as until while of at by for "
+    "with about against between into through during before after above below to from up "
+    "down in out on off over under again further then once here there when where why how "
+    "all any both each few more most other some such no nor not only own same so than too "
+    "very s t can will just don should now d ll m o re ve y ain aren couldn didn doesn "
+    "hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn"
+).split()
+ALPHAS = [0.001, 0.01, 0.1, 1, 10, 100, 1000]
+COUNTS = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
 
 # Columns of the test tables with their kind: i(nteger), f(loat), s(tring), t(imestamp).
 TABLE_COLUMNS = {
@@ -66,7 +85,7 @@ def is_datetime(v: str) -> str:
     tests = [f"regexp_matches({plain}, {quote(YEAR_PATTERN)})"] + [
         f"(regexp_matches({plain}, {quote(shape)}) "
         f"AND try_strptime({plain}, {quote(fmt)}) IS NOT NULL)"
-        for shape, _, fmt in DATE_SHAPES
+        for shape, fmt in DATE_SHAPES
     ]
     return f"CASE WHEN {v} IS NOT NULL THEN coalesce({' OR '.join(tests)}, false) END"
 
@@ -155,6 +174,14 @@ def profile(
     return f"SELECT {', '.join(shown)} FROM ({whole})"
 
 
+def wide(long: str, columns) -> str:
+    """A profile as one row."""
+    shown = ", ".join(
+        f"max(CASE WHEN name = {quote(c)} THEN \"{s}\" END) AS \"{c}::{s}\"" for s in list(PROFILE_NAMES)[1:] for c in columns
+    )
+    return f"SELECT {shown} FROM ({long})"
+
+
 def cells(source: str, columns, order: str | None = None, keep_null: bool = False) -> str:
     extra = f", {order} AS o" if order else ""
     parts = [
