@@ -16,7 +16,7 @@ from colprism.llm.shared import column, modulo_crc, text_bytes
 BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
 DIMENSIONS = 16
-#: Rows of each language that the model is fitted on, and that it is calibrated on.  The bound of the sample.
+#: Different texts of each language that the model is fitted on, and that it is calibrated on.  The bound of the sample.
 FIT_ROWS = 400
 CALIBRATION_ROWS = 400
 #: Parts of each of these rows that are learnt beside the whole, so that short texts are known too.
@@ -176,13 +176,19 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def sample(rows: DataFrame) -> DataFrame:
+    """text, lang, rank of the first different texts of each language, each once, of rows text, lang in the order of a hash."""
+    rows = rows.withColumn("draw", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy("draw")
+    # Hashes alone are made distinct: copies are one small row per task.
+    first = rows.select("lang", "draw").distinct().withColumn("rank", F.row_number().over(order))
+    first = F.broadcast(first.where(F.col("rank") <= FIT_ROWS + CALIBRATION_ROWS))
+    return rows.join(first, ["lang", "draw"]).groupBy("lang", "rank").agg(F.min("text").alias("text")).select("text", "lang", "rank")
+
+
 def train(rows: DataFrame) -> Model | None:
-    """A model from rows text, lang, draw; ``draw`` orders the rows of a language, and the first ones are taken."""
-    order = Window.partitionBy("lang").orderBy("draw", "text")
-    drawn = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= FIT_ROWS + CALIBRATION_ROWS)
-    features = drawn.select("text", "lang", "rank").mapInArrow(
-        _features, "lang string, rank int, text binary, at binary, n binary"
-    )
+    """A model from rows text, lang."""
+    features = sample(rows).mapInArrow(_features, "lang string, rank int, text binary, at binary, n binary")
     # The sample is bounded: one task learns from it, and the driver sees the model alone.
     learnt = features.repartition(1).mapInArrow(
         _learnt, "labels array<string>, shape array<int>, table binary, bias binary, temperature double, threshold double"
@@ -247,7 +253,7 @@ def learn(docs: DataFrame, id: str, text: str, lang: str, fold: int, held: int)
     """The model of ``identify``; None if no row that may teach has a language."""
     teaches = _known(text) & column(lang).isNotNull() & (modulo_crc(column(id), fold) != held)
     rows = docs.where(teaches)
-    return train(rows.select(_padded(text).alias("text"), column(lang).cast("string").alias("lang"), F.xxhash64(column(text)).alias("draw")))
+    return train(rows.select(_padded(text).alias("text"), column(lang).cast("string").alias("lang")))
 
 
 def predicted(rows: DataFrame, model: Model | None) -> DataFrame:
@@ -266,8 +272,8 @@ def identify(
     """id, held_out, lang_pred, score, rejected for every row of ``docs``.
 
     ``held_out``: crc32 of the id, modulo ``fold``, is ``held``; such rows teach nothing.
-    Of the others, up to ``FIT_ROWS`` + ``CALIBRATION_ROWS`` whole rows of each language
-    are drawn by a hash of the text.  ``lang_pred`` comes from the text alone: the
+    Of the others, up to ``FIT_ROWS`` + ``CALIBRATION_ROWS`` different texts (in lower
+    case) of each language are drawn by a hash.  ``lang_pred`` comes from the text alone: the
     likeliest of the languages learnt, or ``und`` with score 0 for a text that is null or
     has no letter, and for all if nothing is labelled.  ``score`` is its calibrated
     probability; below the calibrated threshold, or without a letter, a row is

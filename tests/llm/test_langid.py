@@ -38,6 +38,19 @@ def test_edges(spark):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_copies_do_not_fill_the_sample(spark):
+    from pyspark.sql import functions as F
+
+    texts = spark.range(2000).select(F.concat(F.lit("Wort "), "id").alias("text"), F.lit("de").alias("lang"))
+    copies = texts.orderBy(F.xxhash64("text")).limit(1).crossJoin(spark.range(5000)).select("text", "lang")
+    docs = texts.union(copies)
+    docs = docs.union(texts.limit(50).selectExpr("text", "'xx'"))
+    seen = langid.sample(docs).collect()
+    german = [(r.rank, r.text) for r in seen if r.lang == "de"]
+    assert len({t for _, t in german}) == len(german) == langid.FIT_ROWS + langid.CALIBRATION_ROWS
+    assert sorted(k for k, _ in german) == list(range(1, 801)) and len(seen) == 850
+
+
 def test_blocks_do_not_matter(monkeypatch):
     draw = np.random.Generator(np.random.PCG64(2))
     model = langid.Model(["a", "b"], draw.random((langid.BUCKETS, 2)), np.zeros(2))
