@@ -53,7 +53,7 @@ PATTERNS = {
     "name": rf"(?<!\w)(?:{_ALL_TITLES})\.?\x20{_NAME_WORD}(?:\x20{_NAME_WORD})?",
 }
 #: What every match holds; texts without it are not searched further.
-_SIGN = rf"[@]|\d{{2}}|(?:{_ALL_TITLES})\.?\x20"
+_SIGN = rf"[@]|\d{{2}}|\d\.\d|(?:{_ALL_TITLES})\.?\x20"
 #: Rounds after which a surrogate gets one letter or digit more per round.
 _SAME_LENGTH_ROUNDS = 4
 

@@ -66,6 +66,31 @@ def test_coreference_and_format(spark):
     assert iban and iban[1].replace(" ", "") == iban[2]
 
 
+def test_every_match_holds_a_sign(spark):
+    from pyspark.sql import functions as F
+
+    from colprism.llm import pii
+
+    found = {
+        "email": ["a@b", "x.y@z.org"],
+        "ip": ["8.8.8.8", "1.1.1.1", "10.0.0.1", "255.255.255.255"],
+        "iban": ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"],
+        "card": ["4785380592391139", "4785-3805-9239-1139"],
+        "ssn": ["123-45-6789"],
+        "phone": ["+1 (375) 555-4393", "375-555-4393", "+49 3 12 34", "+1(2)34 56"],
+        "name": ["Mr Smith", "Dr. Ada Bach", "Госпожа Белых"],
+    }
+    assert found.keys() == pii.PATTERNS.keys()
+    for kind, texts in found.items():
+        for r in spark.createDataFrame([(t,) for t in texts], "t string").select(
+            "t", F.col("t").rlike(f"^(?:{pii.PATTERNS[kind]})$").alias("match"), F.col("t").rlike(pii._SIGN).alias("sign")
+        ).collect():
+            assert r.match and r.sign, (kind, r.t)
+    got = replaced(spark, ["use 8.8.8.8 or 1.1.1.1", "42 hosts ask 8.8.8.8"])
+    a, b = re.fullmatch(r"use ([\d.]+) or ([\d.]+)", got[0]).groups()
+    assert a != "8.8.8.8" and b != "1.1.1.1" and a != b and got[1] == f"42 hosts ask {a}"
+
+
 def test_keyed_and_repeatable(spark):
     rows = ["a@b.com 4785380592391139"]
     assert replaced(spark, rows) == replaced(spark, rows) != replaced(spark, rows, "other")
