@@ -773,19 +773,20 @@ def _entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _search(spark, d, layout, grid) -> classify.GridResult:
-    entities = _entities(spark, d)
-    features = classify.fit_features(entities, layout).transform(entities)
-    return classify.grid_search(folds.kfold(features, "doc_id"), grid, row_id="doc_id")
+    train, holdout = folds.holdout_split(_entities(spark, d), "doc_id")
+    features = classify.fit_features(train, layout)
+    rows = folds.kfold(features.transform(train), "doc_id")
+    return classify.grid_search(rows, grid, row_id="doc_id", holdout=features.transform(holdout))
 
 
 query("logistic_grid")(
-    lambda spark, d: _search(spark, d, _LAYOUT, classify.logistic_grid(values=[0.1, 10], iterations=20)).scores
+    lambda spark, d: _search(spark, d, _LAYOUT, classify.logistic_grid()).scores
 )
 query("forest_grid")(
-    lambda spark, d: _search(spark, d, _RAW_LAYOUT, classify.forest_grid(trees=[5, 25], depths=[5])).best
+    lambda spark, d: _search(spark, d, _RAW_LAYOUT, classify.forest_grid()).best
 )
 query("svm_grid")(
-    lambda spark, d: _search(spark, d, _RAW_LAYOUT, classify.svm_grid(values=[1], iterations=5)).best
+    lambda spark, d: _search(spark, d, _RAW_LAYOUT, classify.svm_grid()).best
 )
 
 
@@ -794,5 +795,5 @@ def _(spark, d):
     train, test = folds.holdout_split(_entities(spark, d), "doc_id")
     features = classify.fit_features(train, _LAYOUT)
     size = features.transform(train).select("features").first()["features"].size
-    model = classify.fit_pipeline(train, _LAYOUT, classify.perceptron(size, 2, (16,), iterations=30))
+    model = classify.fit_pipeline(train, _LAYOUT, classify.perceptron(size, 2))
     return classify.score(test, model, ["source", "lang"]).select("doc_id", "label", "prediction")

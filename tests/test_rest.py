@@ -255,3 +255,29 @@ def test_neighbours_with_missing_statistics(spark):
     assert {r.query_id for r in got} == {1, 2, 3, 4} and len(got) == 16
     predicted = {r.query_id: r.predicted for r in neighbours.predict_label(df, df, columns, k=3).collect()}
     assert predicted.keys() == {1, 2, 3, 4} and set(predicted.values()) <= {"x", "y"}
+
+
+def test_registered_searches_are_whole(spark, monkeypatch):
+    import catalog.queries as catalog
+
+    asked, nets = [], []
+
+    def search(data, candidates, *, holdout=None, **rest):
+        asked.append(([c.params for c in candidates], candidates[0].estimator(10), holdout.count()))
+        assert data.join(holdout, "doc_id").count() == 0
+        return classify.GridResult(None, None)
+
+    def network(*args, **rest):
+        nets.append((args[2:], rest))
+        return classify.logistic(1.0, 10, iterations=1)
+
+    monkeypatch.setattr(catalog.classify, "grid_search", search)
+    for name, whole in (("logistic_grid", 10), ("forest_grid", 24), ("svm_grid", 5)):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+        points, first, held = asked.pop()
+        assert len(points) == whole and held > 0
+        machine = first.getClassifier() if name == "svm_grid" else first
+        assert name == "forest_grid" or machine.getMaxIter() == 100
+    monkeypatch.setattr(catalog.classify, "perceptron", network)
+    catalog.QUERIES["perceptron_score"](spark, "/root/testdata/sf0.001")
+    assert nets == [((), {})]
