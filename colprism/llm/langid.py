@@ -24,7 +24,7 @@ PARTS = 4
 EPOCHS = 6
 RATE = 0.5
 #: Share of rightly labelled rows that calibration lets be rejected.
-ALPHA = 0.0001
+ALPHA = 0.005
 UNKNOWN = "und"
 _BLOCK = 1 << 19
 
@@ -126,31 +126,34 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], labels: list[str]) ->
     return Model(labels, (emb @ weights), bias)
 
 
-def calibrated(model: Model, samples: list[tuple[str, bytes]]) -> Model:
-    """Temperature of least loss on rows not fitted on; threshold that so few of them miss."""
+def calibrated(model: Model, samples: list[tuple[str, bytes, bool]]) -> Model:
+    """Temperature of least loss on texts not fitted on, rows and parts; threshold that few of the whole rows miss."""
     if not samples:
         return model
-    raw = b"".join(t for _, t in samples)
-    cuts = np.cumsum([0] + [len(t) for _, t in samples])
+    raw = b"".join(t for _, t, _ in samples)
+    cuts = np.cumsum([0] + [len(t) for _, t, _ in samples])
     logits = model.logits(np.frombuffer(raw, np.uint8), cuts)
-    want = np.array([model.labels.index(l) for l, _ in samples])
+    want = np.array([model.labels.index(l) for l, _, _ in samples])
 
     def loss(t: float) -> float:
         return float(-np.log(softmax(logits / t)[np.arange(len(want)), want] + 1e-12).mean())
 
     temperature = min(np.exp(np.linspace(np.log(0.05), np.log(20), 200)), key=loss)
     p = softmax(logits / temperature)
-    best = np.sort(p.max(1)[p.argmax(1) == want])
-    # Below the calibration rows' own ALPHA quantile, or half the least where they are too few to tell one.
-    threshold = 0.0
-    if len(best):
-        at = int(ALPHA * len(best))
-        threshold = float(best[at] if at else best[0] * 0.5)
+    # Parts are shorter than what is judged: only whole rows tell the threshold.
+    whole = np.array([w for _, _, w in samples])
+    threshold = least_score(p.max(1)[whole & (p.argmax(1) == want)])
     return Model(model.labels, model.table, model.bias, float(temperature), threshold)
 
 
+def least_score(right: np.ndarray) -> float:
+    """Below it comes a further right row with probability ``ALPHA`` at most; 0 where the scores are too few to tell."""
+    at = int(ALPHA * (len(right) + 1))
+    return float(np.sort(right)[at - 1]) if at else 0.0
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, rank, text length, buckets and counts of whole rows and of parts of them."""
+    """lang, rank, text, whether it is a whole row, buckets and counts of whole rows and of parts of them."""
     for batch in batches:
         data, cuts = text_bytes(batch)
         raw = data.tobytes()
@@ -162,17 +165,18 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _ in range(PARTS):
                 a = int(draw.integers(0, max(1, len(words))))
                 parts.append(b" " + b" ".join(words[a : a + int(draw.integers(2, 16))]) + b" ")
-            kept = [(p, *bucket_counts(p)) for p in parts]
-            kept = [(p, at, n) for p, at, n in kept if len(at)]
+            kept = [(p, i == 0, *bucket_counts(p)) for i, p in enumerate(parts)]
+            kept = [k for k in kept if len(k[2])]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([lang] * len(kept)),
                     pa.array([rank] * len(kept), pa.int32()),
-                    pa.array([p if rank > FIT_ROWS else b"" for p, _, _ in kept], pa.binary()),
-                    pa.array([at.astype("<i4").tobytes() if rank <= FIT_ROWS else b"" for _, at, _ in kept], pa.binary()),
-                    pa.array([n.astype("<i8").tobytes() if rank <= FIT_ROWS else b"" for _, _, n in kept], pa.binary()),
+                    pa.array([p if rank > FIT_ROWS else b"" for p, *_ in kept], pa.binary()),
+                    pa.array([w for _, w, *_ in kept], pa.bool_()),
+                    pa.array([at.astype("<i4").tobytes() if rank <= FIT_ROWS else b"" for *_, at, _ in kept], pa.binary()),
+                    pa.array([n.astype("<i8").tobytes() if rank <= FIT_ROWS else b"" for *_, n in kept], pa.binary()),
                 ],
-                ["lang", "rank", "text", "at", "n"],
+                ["lang", "rank", "text", "whole", "at", "n"],
             )
 
 
@@ -188,7 +192,7 @@ def sample(rows: DataFrame) -> DataFrame:
 
 def train(rows: DataFrame) -> Model | None:
     """A model from rows text, lang."""
-    features = sample(rows).mapInArrow(_features, "lang string, rank int, text binary, at binary, n binary")
+    features = sample(rows).mapInArrow(_features, "lang string, rank int, text binary, whole boolean, at binary, n binary")
     # The sample is bounded: one task learns from it, and the driver sees the model alone.
     learnt = features.repartition(1).mapInArrow(
         _learnt, "labels array<string>, shape array<int>, table binary, bias binary, temperature double, threshold double"
@@ -202,14 +206,14 @@ def train(rows: DataFrame) -> Model | None:
 def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The model of the rows of ``_features``; none if there are none."""
     got = [r for b in batches for r in b.to_pylist()]
-    got.sort(key=lambda r: (r["lang"], r["rank"], r["text"], r["at"], r["n"]))
+    got.sort(key=lambda r: (r["lang"], r["rank"], r["text"], r["whole"], r["at"], r["n"]))
     labels = sorted({r["lang"] for r in got})
     if not labels:
         return
     fitted = [
         (r["lang"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i8").astype(float)) for r in got if r["rank"] <= FIT_ROWS
     ]
-    rest = [(r["lang"], r["text"]) for r in got if r["rank"] > FIT_ROWS]
+    rest = [(r["lang"], r["text"], r["whole"]) for r in got if r["rank"] > FIT_ROWS]
     model = calibrated(fit(fitted, labels), rest)
     row = {
         "labels": labels,

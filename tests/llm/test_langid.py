@@ -51,6 +51,33 @@ def test_copies_do_not_fill_the_sample(spark):
     assert sorted(k for k, _ in german) == list(range(1, 801)) and len(seen) == 850
 
 
+def test_what_is_not_learnt_is_rejected(spark):
+    import random
+
+    draw = random.Random(4)
+    words = {
+        "en": "the and cat dog house water with this that from under where morning little brother window".split(),
+        "de": "der und katze hund haus wasser mit dieser jener von unter wo morgen klein bruder fenster".split(),
+    }
+    rows = [(l, " ".join(draw.choice(ws) for _ in range(draw.randrange(6, 40)))) for l, ws in words.items() for _ in range(1200)]
+    letters = lambda n: "".join(draw.choice("bcdfghjklmnpqrstvwxyz") for _ in range(n))
+    other = ["Ωλφα βητα γαμμα δελτα", "привет как дела сегодня", "这是一个句子 没有", "مرحبا بالعالم"]
+    other += [" ".join(letters(draw.randrange(5, 9)) for _ in range(20)) for _ in range(20)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows + [(None, t) for t in other])], "doc_id bigint, lang string, text string")
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    assert all(got[len(rows) + i].rejected for i in range(len(other)))
+    assert np.mean([got[i].rejected for i in range(len(rows))]) < 0.02
+
+
+def test_one_rule_for_the_threshold():
+    scores = np.linspace(0.5, 1, 20001)
+    for n in (0, 1, 198):
+        assert langid.least_score(scores[:n]) == 0
+    for n in (199, 1000, 20001):
+        assert 0 < np.mean(scores[:n] < langid.least_score(scores[:n])) + 1 / n <= 2 * langid.ALPHA
+        assert np.sum(scores[:n] < langid.least_score(scores[:n])) == int(langid.ALPHA * (n + 1)) - 1
+
+
 def test_blocks_do_not_matter(monkeypatch):
     draw = np.random.Generator(np.random.PCG64(2))
     model = langid.Model(["a", "b"], draw.random((langid.BUCKETS, 2)), np.zeros(2))
