@@ -13,7 +13,7 @@ from colprism.llm.shared import narrowed
 
 #: Edits that are allowed, for each character of the item.
 RATE = 0.08
-#: Items of fewer characters say nothing about a document and are not looked for.
+#: Items of fewer characters are not looked for, unless ``least`` says otherwise.
 LEAST = 20
 #: Characters of the items that one pass over the documents looks for.
 PASS = 4_000_000
@@ -68,6 +68,18 @@ class Pattern:
         return least, end
 
 
+def whole_words(item: str, text: str) -> int:
+    """Where the item is first in the text with no letter or digit of a word cut off at its ends, or -1."""
+    at = text.find(item)
+    while at >= 0:
+        end = at + len(item)
+        cut = at and text[at - 1].isalnum() and item[0].isalnum()
+        if not cut and not (end < len(text) and text[end].isalnum() and item[-1].isalnum()):
+            return at
+        at = text.find(item, at + 1)
+    return -1
+
+
 class Searcher:
     """Items to be found in texts."""
 
@@ -91,10 +103,11 @@ class Searcher:
         begins: dict[int, list[int]] = defaultdict(list)
         for last, (size, places) in self.machine.iter(text):
             for k, at in places:
-                begins[k].append(last - size + 1 - at)
+                if self.patterns[k][1].budget or k not in begins:
+                    begins[k].append(last - size + 1 - at)
         for k, found in begins.items():
             p = self.patterns[k][1]
-            exact = text.find(p.item)
+            exact = text.find(p.item) if p.budget else whole_words(p.item, text)
             if exact >= 0:
                 yield k, 0, exact + len(p.item)
                 continue
@@ -146,13 +159,13 @@ def _without(batches: Iterator[pa.RecordBatch], at: int, items: list, rate: floa
         yield batch.filter(pa.array(clean, pa.bool_()))
 
 
-def passes(items: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
+def passes(items: DataFrame, item_id: str, item_text: str, least: int = LEAST) -> Iterator[list[tuple[int, str]]]:
     """The items to look for, in lists of about ``PASS`` characters; the driver holds one list at a time."""
     asked = narrowed(items, id=item_id, text=item_text).where("text IS NOT NULL")
     block, size = [], 0
     for r in asked.select(F.col("id").cast("bigint").alias("id"), "text").orderBy("id", "text").toLocalIterator():
         item = plain(r.text)
-        if len(item) < LEAST:
+        if len(item) < max(least, 1):
             continue
         block.append((r.id, item))
         size += len(item)
@@ -171,14 +184,16 @@ def find_leaks(
     item_id: str = "item_id",
     item_text: str = "text",
     rate: float = RATE,
+    least: int = LEAST,
 ) -> DataFrame:
     """id, item_id, edits, ends_at, item_chars: each item that a row of ``docs`` holds, at its best place.
 
     Texts are compared in lower case, with single spaces.  An item is held if some part
     of the text is at most ``rate`` times its length edits (insert, delete, replace)
     away; all such pairs are found.  ``ends_at`` counts characters of the text so
-    written.  Null and empty texts hold nothing; items that are null or shorter than
-    ``LEAST`` are not looked for; equal items and rows are found one by one.
+    written.  Null and empty texts hold nothing; items that are null, empty or shorter
+    than ``least`` are not looked for; equal items and rows are found one by one.  An
+    item too short for an edit is held as whole words only.
 
     The items are read in passes of bounded size; each pass looks through all documents
     with the pieces of its items.
@@ -192,7 +207,7 @@ def find_leaks(
         return rows.mapInArrow(lambda b: _search(b, told.value, rate), schema)
 
     found = None
-    for block in passes(items, item_id, item_text):
+    for block in passes(items, item_id, item_text, least):
         part = look(context.broadcast(block))
         found = part if found is None else found.union(part)
     found = found if found is not None else look(context.broadcast([]))
@@ -206,13 +221,14 @@ def decontaminated(
     item_id: str = "item_id",
     item_text: str = "text",
     rate: float = RATE,
+    least: int = LEAST,
 ) -> DataFrame:
-    """The rows of ``docs``, with all columns, that hold no item.  Nothing is shuffled."""
+    """The rows of ``docs``, with all columns, that hold no item of ``least`` characters.  Nothing is shuffled."""
     at, left = docs.columns.index(text), docs
 
     def without(df: DataFrame, told) -> DataFrame:
         return df.mapInArrow(lambda b: _without(b, at, told.value, rate), docs.schema)
 
-    for block in passes(items, item_id, item_text):
+    for block in passes(items, item_id, item_text, least):
         left = without(left, docs.sparkSession.sparkContext.broadcast(block))
     return left

@@ -39,7 +39,7 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Where documents hold a benchmark text, with few edits."""
-    return decontam.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontam.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"), least=1)
 
 
 @query

@@ -68,6 +68,21 @@ def test_whole_query(spark):
         assert Pattern(item, RATE).best(dict(docs)[d])[0] == n <= len(item) * RATE
 
 
+def test_short_items(spark, tmp_path):
+    import corpus_pipeline
+
+    items = [(1, "Capital of France?"), (2, "Who is he"), (3, ""), (4, None), (5, "?!")]
+    texts = ["So: capital of  France? Paris", "capital of Frnce?", "who is he, then", "who is hers", "no", "what ?! no", None]
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    b.write.parquet(str(tmp_path / "benchmark.parquet"))
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.item_id, r.edits) for r in QUERIES["op3_decontamination"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 1, 0), (1, 1, 1), (2, 2, 0), (5, 5, 0)}
+    kept = corpus_pipeline.decontaminated(spark, d, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == [3, 4, 6]
+
+
 def test_passes(spark, monkeypatch):
     import colprism.llm.decontam as module
 
