@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colprism.llm.components import components
 from colprism.llm.shared import column, narrowed, stored, texts
@@ -149,6 +150,14 @@ def near_duplicates(
     with equal ids stay apart rows; a null id counts as larger than any other and is the
     component's only if all are null.  An empty table gives an empty result.
     """
+    prints, placed = _placed(docs, id, text, shingle, max_bits)
+    return prints.join(placed, "fp").select(
+        F.col("id").alias(id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+def _placed(docs: DataFrame, id: str, text: str, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """id, fp of every row; fp, root, component_id of every fingerprint.  Two components can share a component_id, not a root."""
     prints = stored(fingerprints(docs, id, text, shingle))
     nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(near_fingerprints(nodes, max_bits))
@@ -157,23 +166,41 @@ def near_duplicates(
     placed = stored(placed.select("fp", "least", F.coalesce("root", "fp").alias("root")))
     joined = placed.where("root <> fp").select("root").distinct()
     small = placed.join(joined, "root").groupBy("root").agg(F.min("least").alias("component"))
-    of = placed.join(small, "root", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return prints.join(of, "fp").select(
-        F.col("id").alias(id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    of = placed.join(small, "root", "left").select("fp", "root", F.coalesce("component", "least").alias("component_id"))
+    return prints, of
+
+
+def _with_fingerprints(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with ``__fp``."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one = pa.RecordBatch.from_arrays([batch.column(at)], ["text"])
+            bits = np.array([fingerprint(t) for t in texts(one)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits)], [*batch.schema.names, "__fp"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` for each group of near copies: that of the smallest id.
 
-    Rows that repeat an id count as one and the same document.  Rows with a null id are
-    documents of their own and stay.
+    Rows that repeat an id are documents of their own by their texts: of those in one
+    group the first by fingerprint and hash of the text is taken.  Rows with a null id
+    are documents of their own and stay.
     """
-    found = near_duplicates(docs, id, text).select(F.col(id).alias("__id"), "component_id").where("__id IS NOT NULL")
+    prints, placed = _placed(docs, id, text, SHINGLE, MAX_BITS)
+    found = prints.where("id IS NOT NULL").join(placed, "fp").select(F.col("id").alias("__id"), "fp", "root", "component_id")
     marks = found.groupBy("__id").agg(F.min("component_id").alias("__least"), F.count(F.lit(1)).alias("__rows"))
     # Only ids of rows that go or that are repeated; all other rows stay as they are.
     marks = stored(marks.where("__least < __id OR __rows > 1"))
-    left = docs.join(marks, column(id) == marks["__id"], "left").where("__id IS NULL OR __least >= __id")
+    left = docs.join(marks, column(id) == marks["__id"], "left")
     own = [column(c) for c in docs.columns]
-    repeated = left.where("__rows > 1").select(*own).dropDuplicates([id])
-    return left.where("__rows IS NULL").select(*own).unionByName(repeated)
+    repeated = _with_fingerprints(left.where("__rows > 1").select(*own), text)
+    # A group's fingerprint tells its root; the row is the first of its id there.
+    of = placed.withColumnRenamed("fp", "__fp").withColumnsRenamed({"root": "__root", "component_id": "__component"})
+    repeated = repeated.join(of, "__fp").where(column(id) == F.col("__component"))
+    order = F.struct("__fp", F.xxhash64(column(text)))
+    taken = repeated.groupBy("__root").agg(F.min_by(F.struct(*own), order).alias("__row")).select("__row.*")
+    return left.where("__id IS NULL").select(*own).unionByName(taken)

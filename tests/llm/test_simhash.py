@@ -59,6 +59,14 @@ def test_edges(spark):
     assert kept == sorted(["3", "2", "None", "None", "7"])
 
 
+def test_texts_of_one_id_are_documents(spark):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (2, text("c")), (2, text("c").upper()), (3, text("b")), (4, text("d"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted((r.doc_id, r.text.lower()[0]) for r in one_of_each(docs).collect())
+    assert kept == [(1, "a"), (2, "b"), (2, "c"), (4, "d")]
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
