@@ -29,6 +29,11 @@ GIVEN = {
         "m": "Антон Борис Глеб Денис Егор Иван Лев Марк Олег Павел Роман Юрий".split(),
         "x": "Валя Женя Саша Слава Шура".split(),
     },
+    "greek": {
+        "f": "Άννα Ελένη Ειρήνη Μαρία Νίκη Σοφία".split(),
+        "m": "Ανδρέας Γιώργος Κώστας Νίκος Πέτρος Φώτης".split(),
+        "x": "Άγγελος Αλέξης Θάλεια Χάρις".split(),
+    },
 }
 FAMILY = {
     "latin": (
@@ -37,8 +42,10 @@ FAMILY = {
         "Sommer Stein Talbot Ulmer Vogt Wald Weber Winter Zander Ziegler"
     ).split(),
     "cyrillic": "Белых Гончар Дубко Заречных Ковалюк Лесных Мельник Орлюк Полевых Седых Ткач Черных".split(),
+    "greek": "Αγγελάκης Βλάχος Δήμας Καράς Λάππας Μακρής Νικολάου Ξένος Ρήγας Σταύρου".split(),
 }
-_NAME_WORD = r"(?:\p{Lu}\p{Ll}[\p{L}'’-]*+)"
+# A part after an apostrophe or hyphen belongs to the word, but for the possessive s; initials stand before a word.
+_NAME_WORD = r"(?:(?:\p{Lu}\.\x20?){0,3}\p{Lu}(?:\p{L}*+(?:['’-](?!s(?!\p{L}))\p{L}++)++|\p{L}++))"
 _ALL_TITLES = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 
 #: Alternatives in order of precedence.  Each starts only where no longer run of its
@@ -47,10 +54,13 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]|\.(?=[A-Za-z0-9]))*+",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "card": r"(?<![\w.+-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\w]|[.-]\d)",
+    "card": r"(?<![\w.+-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\w]|[.-]\d)"
+    r"|(?<![\w.+-])3[47]\d{2}[ -]\d{6}[ -]\d{5}(?![\w]|[.-]\d)|(?<![\w.+-])[3-6]\d{12,18}(?![\w]|[.-]\d)",
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)",
-    "phone": r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w.])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w)",
-    "name": rf"(?<!\w)(?:{_ALL_TITLES})\.?\x20{_NAME_WORD}(?:\x20{_NAME_WORD})?",
+    "phone": r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w.])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w)"
+    r"|(?<![\w.])\(\d{3}\)\d{3}[ .-]?\d{4}(?!\w)|(?<![\w.+-])[2-9]\d{2}[2-9]\d{6}(?![\w]|[.-]\d)"
+    r"|(?<![\w.+-])0\d{2,4}[ /-]\d{5,8}(?![\w]|[.-]\d)",
+    "name": rf"(?<!\w)(?:{_ALL_TITLES})\.?\x20{{1,3}}{_NAME_WORD}(?:\x20{_NAME_WORD}){{0,3}}",
 }
 #: What every match holds; texts without it are not searched further.
 _SIGN = rf"[@]|\d{{2}}|\d\.\d|(?:{_ALL_TITLES})\.?\x20"
@@ -93,7 +103,7 @@ def canonical(kind: Column, found: Column) -> Column:
         .when(kind == "ip", found)
         .when(kind.isin("card", "ssn"), digits)
         .when(kind == "iban", F.replace(found, F.lit(" "), F.lit("")))
-        .otherwise(F.regexp_replace(found, rf"^(?:{_ALL_TITLES})\.?\x20", ""))
+        .otherwise(F.regexp_replace(found, rf"^(?:{_ALL_TITLES})\.?\x20{{1,3}}", ""))
     )
 
 
@@ -155,7 +165,9 @@ def proposed(kind: Column, canon: Column, gender: Column, turn: int, key: str) -
     n = _number(key, F.lit(f"ip{turn}"), canon)
     part = lambda by, m, low: (F.pmod(F.shiftright(n, by), F.lit(m)) + low).cast("string")
     ip = F.concat_ws(".", part(0, 213, 11), part(9, 256, 0), part(18, 256, 0), part(27, 254, 1))
-    script = F.when(canon.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
+    script = F.lit("latin")
+    for s in ("cyrillic", "greek"):
+        script = F.when(canon.rlike(rf"\p{{Is{s.capitalize()}}}"), F.lit(s)).otherwise(script)
     pick = lambda names, salt: F.element_at(
         F.array(*map(F.lit, names)), (F.pmod(_number(key, F.lit(f"{salt}{turn}"), canon), F.lit(len(names))) + 1).cast("int")
     )
@@ -197,7 +209,7 @@ def _in_layout(found: Column, canon: Column, surrogate: Column) -> Column:
 
 def spelled(kind: Column, found: Column, canon: Column, surrogate: Column) -> Column:
     """The surrogate as the text has it: title, spaces, brackets and country code stay."""
-    title = F.regexp_extract(found, rf"^(?:{_ALL_TITLES})\.?\x20", 0)
+    title = F.regexp_extract(found, rf"^(?:{_ALL_TITLES})\.?\x20{{1,3}}", 0)
     return (
         F.when(kind == "name", F.concat(title, surrogate))
         .when(kind.isin("phone", "card", "ssn"), _in_layout(found, canon, surrogate))
@@ -211,6 +223,9 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     own = docs.select(column(text).alias("text")).where(F.col("text").rlike(_SIGN))
     spellings = own.select(F.explode(F.regexp_extract_all("text", F.lit(KINDS.any), F.lit(0))).alias("found")).distinct()
     spellings = spellings.withColumn("kind", KINDS.kind(F.col("found"))).where("kind IS NOT NULL")
+    # Sixteen digits are a card as they are, other lengths by the check digit.
+    digits = F.regexp_replace("found", r"\D", "")
+    spellings = spellings.where((F.col("kind") != "card") | (F.length(digits) == 16) | F.call_function("luhn_check", digits))
     return spellings.withColumn("canon", canonical(F.col("kind"), F.col("found"))).withColumn(
         "gender", F.when(F.col("kind") == "name", _gender(F.col("found"))).otherwise(F.lit("x"))
     )
@@ -248,6 +263,8 @@ def replace_entities(docs: DataFrame, id: str = "doc_id", text: str = "text", ke
     corpus.  Null and empty texts and texts without a find come back as they are.  Rows
     with equal or null ids are replaced one by one.
 
+    A name found after a title is replaced where it stands without one in the same text.
+
     Only texts with a find are shuffled.  A text is cut at its finds; what lies between
     them is put together again with the surrogates.
     """
@@ -259,18 +276,31 @@ def replace_entities(docs: DataFrame, id: str = "doc_id", text: str = "text", ke
     given = surrogates(known, key)
     table = stored(
         known.join(given, ["kind", "canon"]).select(
-            "found", spelled(F.col("kind"), F.col("found"), F.col("canon"), F.col("surrogate")).alias("surrogate")
+            "found",
+            spelled(F.col("kind"), F.col("found"), F.col("canon"), F.col("surrogate")).alias("surrogate"),
+            F.when(F.col("kind") == "name", F.struct("canon", F.col("surrogate").alias("alias"))).alias("name"),
         )
     )
     clean = held.where(F.size("__finds") == 0).drop("__finds")
     dirty = held.where(F.size("__finds") > 0).withColumn("__key", F.struct(column(id).alias("id"), F.xxhash64(own).alias("h")))
     mentions = dirty.select("__key", F.explode(F.array_distinct("__finds")).alias("found"))
     maps = mentions.join(table, "found").groupBy("__key").agg(
-        F.map_from_entries(F.collect_set(F.struct("found", "surrogate"))).alias("__map")
+        F.map_from_entries(F.collect_set(F.struct("found", "surrogate"))).alias("__map"),
+        F.map_from_entries(F.collect_set("name")).alias("__names"),
     )
     maps = maps.withColumnRenamed("__key", "__of")
     joined = dirty.join(maps, dirty["__key"].eqNullSafe(maps["__of"]), "left")
-    gaps = F.split(own, KINDS.any, -1)
+    # Further mentions of the document's names, without a title, lie in the gaps; longer names go first.
+    longer = F.array_sort(F.map_keys("__names"), lambda a, b: F.length(b) - F.length(a))
+    quoted = F.array_join(F.transform(longer, lambda n: F.replace(n, F.lit("."), F.lit("\\."))), "|")
+    named = F.concat(F.lit(r"(?<![\p{L}\p{N}_])(?:"), quoted, F.lit(r")(?![\p{L}\p{N}_])"))
+
+    def renamed(gap: Column) -> Column:
+        aliases = F.transform(F.regexp_extract_all(gap, named, F.lit(0)), lambda n: F.try_element_at("__names", n))
+        parts = F.zip_with(F.split(gap, named, -1), aliases, lambda g, n: F.concat(g, F.coalesce(n, F.lit(""))))
+        return F.when(F.size("__names") > 0, F.array_join(parts, "")).otherwise(gap)
+
+    gaps = F.transform(F.split(own, KINDS.any, -1), renamed)
     put = F.transform("__finds", lambda f: F.coalesce(F.try_element_at("__map", f), f))
     new = F.array_join(F.zip_with(gaps, put, lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
     changed = joined.withColumn(text, new).select(*[column(c) for c in docs.columns])

@@ -91,6 +91,27 @@ def test_every_match_holds_a_sign(spark):
     assert a != "8.8.8.8" and b != "1.1.1.1" and a != b and got[1] == f"42 hosts ask {a}"
 
 
+def test_more_spellings(spark):
+    rows = [
+        "Dr. J. Smith met Mr O'Brien, Mr SMITH and Frau Anna Maria Schmidt.",
+        "Mrs Anna Smith's dog. Then Anna Smith left; Annabel stayed.",
+        "Dr Παπαδόπουλος",
+        "cards 378282246310005, 3782 822463 10005, 4222222222222 but 4222222222223",
+        "call (415)555-0123 or 4155550123 or 030 1234567",
+        "at 1712345678901 or 1712345678, no. 123456",
+    ]
+    got = replaced(spark, rows)
+    assert not re.search(r"Smith|O'Brien|SMITH|Anna Maria|Schmidt", got[0])
+    name = re.fullmatch(r"Mrs (.+)'s dog\. Then (.+) left; Annabel stayed\.", got[1])
+    assert name and name[1] == name[2] != "Anna Smith"
+    assert re.fullmatch("Dr [Ͱ-Ͽ]+", got[2]) and got[2] != rows[2]
+    cards = re.fullmatch(r"cards (\d{15}), (\d{4} \d{6} \d{5}), (\d{13}) but 4222222222223", got[3])
+    assert cards and cards[1] == cards[2].replace(" ", "") != "378282246310005" and cards[3] != "4222222222222"
+    phones = re.fullmatch(r"call (\(\d{3}\)\d{3}-\d{4}) or (\d{10}) or (\d{3} \d{7})", got[4])
+    assert phones and re.sub(r"\D", "", phones[1]) == phones[2] != "4155550123" and phones[3] != "030 1234567"
+    assert got[5] == rows[5]
+
+
 def test_keyed_and_repeatable(spark):
     rows = ["a@b.com 4785380592391139"]
     assert replaced(spark, rows) == replaced(spark, rows) != replaced(spark, rows, "other")
