@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colprism.llm import annsearch, decontam, hmm, langid, mixing, pii, secrets, simhash, suffixdedup, warc
+from colprism.llm import annsearch, audit, decontam, hmm, langid, mixing, pii, secrets, simhash, suffixdedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,3 +83,58 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
     """The 5 nearest embeddings of every 50th."""
     return annsearch.nearest(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What each of five filters removes, in every order, for each language."""
+    return audit.audit(audit.failure_masks(table(spark, folder, "documents"), table(spark, folder, "labels")))
+
+
+SQL["op13_filter_audit"] = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), marked AS (
+  SELECT doc_id, part,
+    (len(words) < 200)::INT
+    + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS mask
+  FROM texts
+), given AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id
+), counts AS (
+  SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(bad, 0)) AS bad
+  FROM marked LEFT JOIN given USING (doc_id) GROUP BY part, mask
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l
+), orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), places AS (
+  SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM orders
+), steps AS (
+  SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS own,
+    list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65)))::BIGINT AS earlier
+  FROM places
+), counted AS (
+  SELECT part, filter_order, step, own,
+    sum(n) FILTER (mask & (own + coalesce(earlier, 0)) = 0) AS kept,
+    sum(n) FILTER (mask & own > 0 AND mask & coalesce(earlier, 0) = 0) AS removed,
+    sum(n) FILTER (mask & own > 0 AND mask & coalesce(earlier, 0) > 0) AS redundant,
+    sum(n) FILTER (mask = own) AS unique_fails,
+    sum(good) FILTER (mask & own > 0 AND mask & coalesce(earlier, 0) = 0) AS good_lost,
+    sum(bad) FILTER (mask & own > 0 AND mask & coalesce(earlier, 0) = 0) AS toxic_lost
+  FROM counts, steps GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step,
+  coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::BIGINT AS shapley
+FROM counted
+"""
