@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colprism.llm import annsearch, audit, decontam, hmm, langid, mixing, pii, secrets, simhash, suffixdedup, warc
+from colprism.llm import annsearch, audit, decontam, hmm, langid, mixing, packing, pii, secrets, simhash, suffixdedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,6 +85,12 @@ def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return annsearch.nearest(table(spark, folder, "embeddings"))
 
 
+@query
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Where every piece of every document lies in sequences of 2048 tokens."""
+    return packing.pack(table(spark, folder, "documents"))
+
+
 @query
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     """What each of five filters removes, in every order, for each language."""

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from types import ModuleType
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept_by_worker(name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once in each Python worker and kept from task to task.
+
+    The code of this package travels by value, so its own globals are new in each task.
+    """
+    keep = sys.modules.setdefault("colprism worker state", ModuleType("colprism worker state")).__dict__
+    if name not in keep:
+        keep[name] = make()
+    return keep[name]
+
+
 def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
