@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colprism.llm import annsearch, audit, decontam, hmm, langid, mixing, packing, pii, secrets, simhash, suffixdedup, warc
+from colprism.llm import annsearch, audit, decontam, hmm, langid, mixing, packing, pii, secrets, simhash, suffixdedup, trie, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,6 +85,54 @@ def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return annsearch.nearest(table(spark, folder, "embeddings"))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every shared beginning of the rebuilt conversations."""
+    return trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+SQL["op11_prefix_trie"] = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS source, xor(list_reduce(
+      list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda v, k: xor(v >> 1, 3988292384 * (v & 1))),
+      4294967295::BIGINT), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+  SELECT convs.conv_id, 0 AS lane, pos, role, text FROM convs JOIN turns ON turns.conv_id = source AND pos < h
+  UNION ALL
+  SELECT conv_id, 1, pos, role, text FROM convs JOIN turns USING (conv_id) WHERE pos >= h
+), paths AS (
+  SELECT conv_id, coalesce(list({r: role, t: text} ORDER BY lane, pos) FILTER (lane IS NOT NULL), []) AS path
+  FROM convs LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id
+), steps AS (
+  SELECT conv_id, path, unnest(range(len(path) + 1)) AS depth FROM paths
+), nodes AS (
+  SELECT path[1:depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(path) = depth) AS ends
+  FROM steps GROUP BY 1, 2
+), children AS (
+  SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), valued AS (
+  SELECT *, coalesce(n_children, 0) AS children,
+    CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(node[depth].t, '[^ 	-]+')) END AS saves
+  FROM nodes LEFT JOIN children USING (node)
+), above AS (
+  SELECT saves, children, node, unnest(range(depth + 1)) AS up FROM valued
+), below AS (
+  SELECT node[1:up] AS node, sum(saves) AS saved_tokens, sum((children = 0)::INT) AS n_leaves FROM above GROUP BY 1
+)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.children AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM valued v JOIN below USING (node)
+LEFT JOIN nodes p ON v.depth > 0 AND p.node = v.node[1:v.depth - 1]
+"""
+
+
 @query
 def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Where every piece of every document lies in sequences of 2048 tokens."""
