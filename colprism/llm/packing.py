@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import NamedTuple
@@ -11,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from colprism.llm.shared import kept_by_worker, narrowed, stored, texts
 
@@ -20,9 +23,11 @@ END = 0
 WEIGHTS = ((1.0, 0.0, 0.0), (1.0, 0.25, 0.25), (1.0, 1.0, 1.0))
 RULES = tuple((kind, weights) for kind in ("norm", "dot") for weights in WEIGHTS)
 #: Words whose ids a task remembers, and the longest of them in bytes.
-_WORDS = 1 << 19
+_WORDS = 1 << 20
 _WORD_BYTES = 64
 _MARKS = tuple(bytes([c]) for c in b".,;:!?")
+#: Words of a-z and the small letters from U+00DF to U+00FF, whose normal form they are.
+_PLAIN = re.compile(rb"(?:[a-z]|\xC3[\x9F-\xB6\xB8-\xBF])+")
 
 Vector = tuple[int, int, int]
 
@@ -58,6 +63,50 @@ def longest_piece(capacity: Vector) -> int:
     return min(capacity[0], math.isqrt(capacity[2])) if capacity[1] else 0
 
 
+def _signs() -> dict[int, str]:
+    """The sign that byte-level models have for each byte: its own in Latin-1 where that is printed, else the next from U+0100."""
+    printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in printed]
+    return {b: chr(b) for b in printed} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
+_SIGNS = _signs()
+
+
+class KnownWords(dict):
+    """The ids of words as bytes, worked out as they are met.
+
+    A word of small letters is what the model merges but for the signs that stand for
+    its bytes; the whole tokenizer sees only others.  A mark at its end stands alone.
+    """
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer, self.merged = tokenizer, tokenizer.model.tokenize
+        self.marks = {m: self.whole(m) for m in _MARKS}
+        for probe in ("a", "zq", "straße", "école,", "internationalisation", "Xyzzyqw!"):
+            if self.whole(probe.encode()) != self.made(probe.encode()):
+                raise ValueError("the ids of a text do not follow from those of its words with this tokenizer")
+
+    def whole(self, word: bytes) -> bytes:
+        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def made(self, word: bytes) -> bytes:
+        small = word.lower()
+        mark = self.marks.get(small[-1:], b"") if small[-2:-1].isalnum() else b""
+        core = small[:-1] if mark else small
+        if not _PLAIN.fullmatch(core):  # special tokens are among these, whose case counts
+            return self.whole(word)
+        ids = [t.id for t in self.merged(core.decode("latin-1").translate(_SIGNS))]
+        return struct.pack(f"<{len(ids)}I", *ids) + mark
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.made(word)
+        if len(word) <= _WORD_BYTES:
+            self[word] = ids
+        return ids
+
+
 def word_ids(path: str) -> Callable[[Sequence[list[bytes]]], Iterator[bytes]]:
     """A function from the words of texts to the ids of each text, as unsigned little-endian 32-bit numbers.
 
@@ -66,36 +115,13 @@ def word_ids(path: str) -> Callable[[Sequence[list[bytes]]], Iterator[bytes]]:
     of its words in turn.  Words met before are looked up, by later tasks of the same
     worker too, up to ``_WORDS`` of them.
     """
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-    from tokenizers import Tokenizer
-
-    tokenizer = kept_by_worker(f"tokenizer {path}", lambda: Tokenizer.from_file(path))
-    known: dict[bytes, bytes] = kept_by_worker(f"words {path}", dict)
-
-    def encode(words: list[bytes]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def apart(word: bytes) -> tuple[bytes, bytes]:
-        """Two parts with the same ids as the word: without capitals, and the mark at its end."""
-        if b"<|" in word:  # may be a special token, whose case counts
-            return word, b""
-        word = word.lower()
-        return (word[:-1], word[-1:]) if word[-1:] in _MARKS and word[-2:-1].isalnum() else (word, b"")
+    known = kept_by_worker(f"words {path}", lambda: KnownWords(Tokenizer.from_file(path)))
 
     def ids(listed: Sequence[list[bytes]]) -> Iterator[bytes]:
-        if len(known) > _WORDS:
-            known.clear()
-        parts = {w: apart(w) for w in set().union(*listed) - known.keys()}
-        new = list({x for two in parts.values() for x in two} - known.keys())
-        known.update(zip(new, encode(new)))
-        known.update({w: known[x] + known[y] for w, (x, y) in parts.items()})
         for words in listed:
+            if len(known) > _WORDS:
+                known.clear()
             yield b"".join(map(known.__getitem__, words))
-        for w in [w for w in [*new, *parts] if len(w) > _WORD_BYTES]:
-            known.pop(w, None)
 
     return ids
 
