@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -25,8 +26,8 @@ SEEDS = 64
 END = b""
 _FLUSH = 400_000
 _CELLS = 400_000
-#: Expected counts are summed as whole numbers of these, so the order of summing is of no effect.
-_UNIT = 1 << 16
+#: Expected counts are summed as whole numbers and as so many parts of one, so the order of summing is of no effect.
+_UNIT = 1 << 40
 
 
 def suffix_class(word: bytes) -> int:
@@ -37,25 +38,23 @@ def suffix_class(word: bytes) -> int:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(learnt: Counter, others: Counter) -> pa.RecordBatch:
-        words = list(learnt.keys() | others.keys())
-        c = [learnt[w] for w in words]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.binary()), pa.array(c, pa.int64()), pa.array([n + others[w] for n, w in zip(c, words)], pa.int64())],
-            ["word", "c", "every"],
-        )
-
-    learnt, others = Counter(), Counter()
+    def out(counted: Counter, learnt: bool) -> pa.RecordBatch:
+        n = pa.array(list(counted.values()), pa.int64())
+        c = n if learnt else pa.array(np.zeros(len(n), np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(list(counted), pa.binary()), c, n], ["word", "c", "every"])
+
+    counted = Counter(), Counter()  # in training rows, in the others
     for batch in batches:
         held = batch.column(batch.schema.get_field_index("held_out")).to_pylist()
         for text, h in zip(texts(batch), held):
-            into = others if h else learnt
+            into = counted[h]
             into.update(text.lower().split())
             into[END] += 1
-            if len(learnt) + len(others) > _FLUSH:
-                yield out(learnt, others)
-                learnt, others = Counter(), Counter()
-    yield out(learnt, others)
+            if len(into) > _FLUSH:
+                yield out(into, not h)
+                into.clear()
+    yield out(counted[0], True)
+    yield out(counted[1], False)
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -132,37 +131,51 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], vocab: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """The columns of a batch but its text, then what the words of each row come to.
+
+    The different words of some rows at a time are looked up once each; what a row needs
+    of them are sums over its stretch of their numbers.
+    """
     place = {w: i for i, w in enumerate(vocab.words)}
-    find = place.get
     logs, room = np.log10(vocab.counts + 1), vocab.log_room
-    end = np.array([place.get(END, -1)])
     for batch in batches:
-        for lo in range(0, batch.num_rows, 2000):
-            part = batch.slice(lo, 2000)
-            out = {k: [] for k in ("n_tokens", "heads", "inner", "room", "known", "seq", "rest")}
-            for text in texts(part):
-                words = text.lower().split()
-                at = np.append(np.array([find(w, -1) for w in words], np.int64), end)
-                rest = Counter(words[i] for i in np.flatnonzero(at[:-1] < 0).tolist())
-                cls = vocab.classes[at] if len(vocab.words) else np.zeros(len(at), np.int64)
-                if rest:
-                    of = {w: suffix_class(w) for w in rest}
-                    cls[:-1][at[:-1] < 0] = [of[w] for w, i in zip(words, at[:-1].tolist()) if i < 0]
-                cls[-1] = 0
-                head = at[at >= 0]
-                out["n_tokens"].append(len(at))
-                out["heads"].append(float(logs[head].sum()))
-                out["inner"].append(float(logs[head][vocab.classes[head] >= OWN].sum()))
-                out["room"].append(float(room[cls].sum()))
-                out["known"].append(int((vocab.counts[head] > 0).sum()))
-                out["seq"].append(cls.astype(np.uint16).tobytes())
-                out["rest"].append([{"word": w, "n": n} for w, n in rest.items()])
-            kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.binary()]
-            kinds.append(pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
+        at = batch.schema.get_field_index("text")
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
+            listed = [text.lower().split() for text in texts(part)]
+            different: dict[bytes, int] = {END: 0}
+            for words in listed:
+                words.append(END)
+                for w in set(words).difference(different):
+                    different[w] = len(different)
+            number = np.fromiter(map(different.__getitem__, itertools.chain.from_iterable(listed)), np.int64)
+            size = np.array([len(words) for words in listed], np.int64)
+            starts = np.cumsum(size) - size
+            head = np.array([place.get(w, -1) for w in different], np.int64)
+            cls = np.array([suffix_class(w) for w in different], np.int64)
+            known = head >= 0
+            cls[known] = vocab.classes[head[known]]
+            cls[0] = 0
+            log, c = np.zeros(len(head)), np.zeros(len(head), np.int64)
+            log[known], c[known] = logs[head[known]], vocab.counts[head[known]]
+            inner = np.where(cls >= OWN, log, 0.0)
+            total = lambda of: np.add.reduceat(of[number], starts) if len(starts) else of[:0]  # noqa: E731, B023
+            classes = cls[number].astype(np.uint16)
+            # Words outside the heads, counted by row.
+            row = np.repeat(np.arange(len(size)), size)
+            other = ~known[number]
+            pairs, times = np.unique(row[other] * len(head) + number[other], return_counts=True)
+            names = pa.array(list(different), pa.binary()).take(pa.array(pairs % len(head)))
+            cuts = np.searchsorted(pairs, np.arange(len(size) + 1) * len(head)).astype(np.int32)
+            rest = pa.StructArray.from_arrays([names, pa.array(times.astype(np.int64))], ["word", "n"])
+            ends = np.concatenate([[0], np.cumsum(size) * 2]).astype(np.int32)
+            seq = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(classes)])
+            sums = [pa.array(size), *[pa.array(total(x)) for x in (log, inner, room[cls])], pa.array(total((c > 0).astype(np.int64)))]
+            others = [part.column(i) for i in range(part.num_columns) if i != at]
+            names = [n for n in part.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(part.schema.get_field_index("held_out"))]
-                + [pa.array(v, k) for v, k in zip(out.values(), kinds)],
-                ["id", "held_out", *out],
+                [*others, *sums, seq, pa.ListArray.from_arrays(pa.array(cuts), rest)],
+                [*names, "n_tokens", "heads", "inner", "room", "known", "seq", "rest"],
             )
 
 
@@ -247,9 +260,10 @@ def _expect(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
             flat = np.concatenate([p.ravel() for p in parts])
             total = flat if total is None else total + flat
     if total is not None:
-        units = np.rint(total * _UNIT).astype(np.int64)
-        at = np.flatnonzero(units)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(units[at])], ["i", "v"])
+        at = np.flatnonzero(total)
+        whole = np.floor(total[at])
+        units = np.rint((total[at] - whole) * _UNIT).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(whole.astype(np.int64)), pa.array(units)], ["i", "v", "u"])
 
 
 def updated(counts: np.ndarray, states: int, base: np.ndarray) -> Model:
@@ -262,19 +276,26 @@ def updated(counts: np.ndarray, states: int, base: np.ndarray) -> Model:
 
 def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for s in _sequences(batch.column(0)):
+        for mark, s in zip(batch.column(0).to_pylist(), _sequences(batch.column(1))):
             counts = np.bincount(s, minlength=CLASSES)
-            yield pa.RecordBatch.from_arrays([pa.array([counts.tolist()], pa.list_(pa.int64()))], ["h"])
+            yield pa.RecordBatch.from_arrays([pa.array([mark], pa.int64()), pa.array([counts.tolist()], pa.list_(pa.int64()))], ["mark", "h"])
 
 
 def first_model(rows: DataFrame, base: np.ndarray, states: int) -> Model:
-    """States that lean to the classes of training rows that are unlike each other.
+    """States that lean to the classes of training texts that are unlike each other.
 
-    ``SEEDS`` rows are drawn by hash; of these, each next one is the least like those
-    taken.  What the states become is up to the counts of the whole corpus.
+    ``SEEDS`` different texts are drawn by hash, a text by its number of tokens; of
+    these, each next one is the least like those taken.  What the states become is up to
+    the counts of the whole corpus.  Copies count once, and how the rows are split is of
+    no effect.
     """
-    drawn = rows.where("NOT held_out AND n_tokens > 30").orderBy(F.xxhash64("row"), "row").limit(SEEDS).select("seq")
-    seen = [np.array(r.h, float) for r in drawn.mapInArrow(_histograms, "h array<bigint>").collect()]
+    # The least of -log(u) / n for even u: a draw without replacement by the weights n.
+    even = (F.pmod("mark", F.lit(1 << 53)) + F.lit(0.5)) / F.lit(float(1 << 53))
+    of = rows.where("NOT held_out").select("mark", "seq", (-F.log(even) / F.col("n_tokens")).alias("draw"))
+    least = of.groupBy("mark").agg(F.min("draw").alias("draw")).orderBy("draw", "mark").limit(SEEDS)
+    marks = [r.mark for r in least.collect()]
+    drawn = of.where(F.col("mark").isin(marks)).select("mark", "seq").dropDuplicates(["mark"])
+    seen = [np.array(r.h, float) for r in drawn.mapInArrow(_histograms, "mark bigint, h array<bigint>").collect()]
     seen = sorted(seen, key=lambda h: (-h.sum(), h.tolist())) or [base]
     unit = [h / np.linalg.norm(h) for h in seen]
     taken = [0]
@@ -294,21 +315,22 @@ def train(rows: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: int
     model = first_model(rows, base, states)
     learnt = rows.where("NOT held_out").select("seq")
     for _ in range(rounds):
-        sums = learnt.mapInArrow(lambda b, m=model: _expect(b, m), "i bigint, v bigint").groupBy("i").agg(F.sum("v").alias("v"))
+        sums = learnt.mapInArrow(lambda b, m=model: _expect(b, m), "i bigint, v bigint, u bigint").groupBy("i")
         counts = np.zeros(states + states * states + states * CLASSES)
-        for r in sums.collect():
-            counts[r.i] = r.v / _UNIT
+        for r in sums.agg(F.sum("v").alias("v"), F.sum("u").alias("u")).collect():
+            counts[r.i] = r.v + r.u / _UNIT
         model = updated(counts, states, base)
     return model
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """All columns of a batch but the sequences in the first, and ``path``."""
     for batch in batches:
         out = np.zeros(batch.num_rows)
         for lo in range(0, batch.num_rows, 4000):
-            for which, lengths, block in padded(_sequences(batch.column(1).slice(lo, 4000))):
+            for which, lengths, block in padded(_sequences(batch.column(0).slice(lo, 4000))):
                 out[lo + which] = forward(model, lengths, block)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["row", "path"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out)], [*batch.schema.names[1:], "path"])
 
 
 def score(docs: DataFrame, id: str = "doc_id", text: str = "text", fold: int = 7, held: int = 2) -> DataFrame:
@@ -327,23 +349,25 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", fold: int = 7
     rows = narrowed(docs, id=id, text=text).withColumn("held_out", modulo_crc(F.col("id"), fold) == held)
     counts = word_counts(rows.select("text", "held_out"))
     vocab = vocabulary(counts)
-    kind = rows.schema["id"].dataType.simpleString()
-    told = rows.sparkSession.sparkContext.broadcast(vocab)
+    # Plain values: a broadcast names classes by their module, which executors need not have.
+    told = rows.sparkSession.sparkContext.broadcast(tuple(vars(vocab).values()))
+    rows = rows.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+    sums = "n_tokens bigint, heads double, inner double, room double, known bigint"
+    kinds = f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean"
     coded = rows.mapInArrow(
-        lambda b: _encode(b, told.value),
-        f"id {kind}, held_out boolean, n_tokens bigint, heads double, inner double, room double, known bigint, "
-        "seq binary, rest array<struct<word:binary,n:bigint>>",
+        lambda b: _encode(b, Vocabulary(*told.value)), f"{kinds}, mark bigint, {sums}, seq binary, rest array<struct<word:binary,n:bigint>>"
     )
     # The row numbers are stored, so they stay what they are.
     coded = stored(coded.withColumn("row", F.monotonically_increasing_id()))
     model = train(coded, vocab)
-    paths = coded.select("row", "seq").mapInArrow(lambda b: _score(b, model), "row bigint, path double")
+    scored = coded.select("seq", "row", "id", "held_out", "n_tokens", "heads", "inner", "room", "known")
+    scored = scored.mapInArrow(lambda b: _score(b, model), f"row bigint, {kinds}, {sums}, path double")
     rest = coded.select("row", F.inline("rest")).join(counts.where("c > 0").select("word", "c"), "word")
     rest = rest.groupBy("row").agg(
         F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum("n").alias("more_known")
     )
     more = F.coalesce("more", F.lit(0.0))
-    whole = coded.drop("seq", "rest").join(paths, "row").join(rest, "row", "left")
+    whole = scored.join(rest, "row", "left")
     # float() of the whole divisor, as the formula has it.
     divisor = float(np.log10(vocab.tokens + vocab.different + 1))
     return whole.select(

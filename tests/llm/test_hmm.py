@@ -104,3 +104,19 @@ def test_rounds_do_not_lose_likelihood(model):
         after = like(model)
         assert after > before
         before = after
+
+
+def test_the_split_of_the_rows_is_of_no_effect(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one, seven = ({r.doc_id: r.score for r in hmm.score(docs.repartition(n)).collect()} for n in (1, 7))
+    assert one.keys() == seven.keys() and np.allclose([one[i] for i in one], [seven[i] for i in one], rtol=1e-9, atol=0)
+
+
+def test_short_texts_seed_states(spark, monkeypatch):
+    first, made = hmm.first_model, []
+    monkeypatch.setattr(hmm, "first_model", lambda *a: made.append(first(*a)) or made[-1])
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "c d", "e f g"] * 20)], "doc_id bigint, text string")
+    hmm.score(docs).collect()
+    emit = made[0].emit
+    # Further apart than the tilt that tells equal seeds from each other.
+    assert max(np.max(emit[i] / emit[j]) for i in range(8) for j in range(8)) > 1.5
