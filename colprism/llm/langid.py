@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colprism.llm.shared import column, modulo_crc, text_bytes
+from colprism.llm.shared import column, modulo_crc, stored, text_bytes
 
 BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
@@ -27,6 +27,7 @@ RATE = 0.5
 ALPHA = 0.005
 UNKNOWN = "und"
 _BLOCK = 1 << 19
+_RANGE_BITS = 12
 
 # A to Z are in lower case already; other ASCII than letters parts words.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -183,9 +184,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sample(rows: DataFrame) -> DataFrame:
     """text, lang, rank of the first different texts of each language, each once, of rows text, lang in the order of a hash."""
     rows = rows.withColumn("draw", F.xxhash64("text"))
-    order = Window.partitionBy("lang").orderBy("draw")
     # Hashes alone are made distinct: copies are one small row per task.
-    first = rows.select("lang", "draw").distinct().withColumn("rank", F.row_number().over(order))
+    hashes = stored(rows.select("lang", "draw").distinct())
+    # Only the ranges of hashes that hold the first ones are ranked; hashes fill the ranges evenly.
+    span = F.shiftright("draw", 64 - _RANGE_BITS)
+    sizes = hashes.groupBy("lang", span.alias("span")).count()
+    before = F.sum("count").over(Window.partitionBy("lang").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
+    spans = sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < FIT_ROWS + CALIBRATION_ROWS)
+    near = hashes.withColumn("span", span).join(spans.select("lang", "span"), ["lang", "span"], "left_semi")
+    order = Window.partitionBy("lang").orderBy("draw")
+    first = near.drop("span").withColumn("rank", F.row_number().over(order))
     first = F.broadcast(first.where(F.col("rank") <= FIT_ROWS + CALIBRATION_ROWS))
     return rows.join(first, ["lang", "draw"]).groupBy("lang", "rank").agg(F.min("text").alias("text")).select("text", "lang", "rank")
 
@@ -266,8 +274,9 @@ def predicted(rows: DataFrame, model: Model | None) -> DataFrame:
     if model is None:
         return rows.select(*rest, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     schema = T.StructType(rows.select(*rest).schema.fields + T.StructType.fromDDL("lang_pred string, score double, rejected boolean").fields)
-    told = rows.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(lambda b: _predict(b, told.value), schema)
+    # Plain values: a broadcast names classes by their module, which executors need not have.
+    told = rows.sparkSession.sparkContext.broadcast((model.labels, model.table, model.bias, model.temperature, model.threshold))
+    return rows.mapInArrow(lambda b: _predict(b, Model(*told.value)), schema)
 
 
 def identify(
