@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalog import sql
@@ -779,6 +780,58 @@ def _search(spark, d, layout, grid) -> classify.GridResult:
     return classify.grid_search(rows, grid, row_id="doc_id", holdout=features.transform(holdout))
 
 
+_FOLDED = (
+    "WITH entities AS (SELECT doc_id, quality, md5('100|' || doc_id) AS h, md5('101|' || doc_id) AS h2 FROM documents JOIN labels USING (doc_id)), "
+    "held AS (SELECT * FROM entities WHERE substr(h, 1, 8) < '40000000'), "
+    "rest AS (SELECT *, CAST(ntile(5) OVER (ORDER BY h, doc_id) - 1 AS INTEGER) AS fold FROM entities WHERE substr(h, 1, 8) >= '40000000'), "
+    "folds AS (SELECT unnest([0, 1, 2, 3, 4]) AS fold), "
+    "share AS (SELECT f.fold, count(*) FILTER (substr(h2, 1, 8) < '40000000') AS choosing, "
+    "greatest(avg(quality) FILTER (substr(h2, 1, 8) < '40000000'), 1 - avg(quality) FILTER (substr(h2, 1, 8) < '40000000')) AS majority "
+    "FROM folds f JOIN rest r ON r.fold <> f.fold GROUP BY f.fold) "
+)
+
+
+def _points_sql(grid: dict[str, list]) -> str:
+    """(place, one column for each parameter) of the grid points, the last parameter running fastest."""
+    points = list(itertools.product(*grid.values()))
+    rows = ", ".join("(" + ", ".join([str(i), *[f"CAST({x!r} AS DOUBLE)" for x in p]]) + ")" for i, p in enumerate(points))
+    return f"(SELECT * FROM (VALUES {rows}) AS p(place, {', '.join(grid)}))"
+
+
+def _tried_sql(grid: dict[str, list]) -> str:
+    """Every fold and point; the accuracy of a point is a share of the rows that choose, the best is no worse than the majority."""
+    return (
+        _FOLDED + f"SELECT fold, place, {', '.join(grid)}, choosing, true AS is_share, true AS best_beats_majority "
+        f"FROM share, {_points_sql(grid)}"
+    )
+
+
+def _tried(spark: SparkSession, d: str, layout: classify.FeatureLayout, grid: list[classify.Candidate]) -> DataFrame:
+    """The scores of a search, as far as they do not hang on the way a loss is brought down."""
+    train, _ = folds.holdout_split(_labelled(spark, d).select("doc_id", F.col("quality").alias("label")), "doc_id")
+    rows = folds.kfold(train, "doc_id").withColumn("choosing", folds.in_holdout(F.col("doc_id"), seed=101))
+    every = F.explode(F.array(*[F.lit(f) for f in range(5)])).alias("of")
+    told = rows.select("*", every).where("fold <> of AND choosing").groupBy(F.col("of").alias("fold"))
+    told = told.agg(F.count(F.lit(1)).alias("choosing"), F.avg("label").alias("good"))
+    scores = _search(spark, d, layout, grid).scores.join(told, "fold")
+    hits = F.col("accuracy") * F.col("choosing")
+    best = F.max("accuracy").over(Window.partitionBy("fold"))
+    return scores.select(
+        "fold", "place", *grid[0].params, "choosing",
+        (F.abs(hits - F.round(hits)) < 1e-6).alias("is_share"),
+        (best >= F.greatest("good", 1 - F.col("good")) - 1e-9).alias("best_beats_majority"),
+    )
+
+
+_LOGISTIC = {"c": sql.LOGISTIC_C}
+_RADIAL = {"c": sql.SVM_C, "gamma": sql.SVM_GAMMA}
+
+query("logistic_grid_scores", _tried_sql(_LOGISTIC))(
+    lambda spark, d: _tried(spark, d, _LAYOUT, classify.logistic_grid())
+)
+query("radial_svm_grid", _tried_sql(_RADIAL))(
+    lambda spark, d: _tried(spark, d, _LAYOUT, classify.radial_svm_grid())
+)
 query("logistic_grid")(
     lambda spark, d: _search(spark, d, _LAYOUT, classify.logistic_grid()).scores
 )

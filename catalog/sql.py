@@ -38,6 +38,9 @@ STOP_WORDS = (
 ).split()
 ALPHAS = [0.001, 0.01, 0.1, 1, 10, 100, 1000]
 COUNTS = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
+LOGISTIC_C = [0.0001, 0.001, 0.01, 0.1, 1, 10, 100, 1000, 10000, 100000]
+SVM_C = [0.1, 1, 10, 100, 1000]
+SVM_GAMMA = [0.0001, 0.001, 0.01, 0.1, 1, 10]
 
 # Columns of the test tables with their kind: i(nteger), f(loat), s(tring), t(imestamp).
 TABLE_COLUMNS = {

@@ -183,6 +183,7 @@ LOGISTIC_C = [0.0001, 0.001, 0.01, 0.1, 1, 10, 100, 1000, 10000, 100000]
 FOREST_TREES = [5, 25, 50, 75, 100, 500]
 FOREST_DEPTHS = [5, 10, 25, 50, 100, 250]
 SVM_C = [0.1, 1, 10, 100, 1000]
+SVM_GAMMA = [0.0001, 0.001, 0.01, 0.1, 1, 10]
 NEIGHBOUR_ALPHAS = [0.001, 0.01, 0.1, 1, 10, 100, 1000]
 NEIGHBOUR_COUNTS = list(range(1, 11))
 

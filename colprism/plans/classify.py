@@ -21,7 +21,7 @@ from pyspark.ml.feature import (
     SQLTransformer,
     VectorAssembler,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,7 @@ from colprism.fixed_values import (
     STATS_25,
     STATS_CLIP,
     SVM_C,
+    SVM_GAMMA,
     TEXT_COLUMNS,
 )
 from colprism.functions.cells import quoted
@@ -43,6 +44,7 @@ from colprism.operators.evaluate import hit_rate
 from colprism.operators.folds import in_holdout
 from colprism.operators.prep import stats_scaler
 from colprism.operators.quality import drop_bad_rows
+from colprism.plans.gridfit import Machine, MachineModel, fit_grid, grid_hits, prepared
 
 _MAX_VOCABULARY = 1 << 18
 _MAX_TREE_DEPTH = 30
@@ -157,13 +159,16 @@ class Candidate:
 
     params: dict[str, float]
     estimator: Callable[[int], Estimator]
+    machine: Machine | None = None  # what fits it together with the rest of the grid
 
 
 def logistic_grid(
     label: str = "label", values: Sequence[float] = LOGISTIC_C, iterations: int = 100
 ) -> list[Candidate]:
     return [
-        Candidate({"c": float(c)}, lambda rows, c=c: logistic(c, rows, label, iterations))
+        Candidate(
+            {"c": float(c)}, lambda rows, c=c: logistic(c, rows, label, iterations), Machine("logistic", float(c), iterations=iterations)
+        )
         for c in values
     ]
 
@@ -188,8 +193,25 @@ def svm_grid(
     label: str = "label", values: Sequence[float] = SVM_C, iterations: int = 100
 ) -> list[Candidate]:
     return [
-        Candidate({"c": float(c)}, lambda rows, c=c: linear_svm(c, rows, label, iterations))
+        Candidate(
+            {"c": float(c)}, lambda rows, c=c: linear_svm(c, rows, label, iterations), Machine("svm", float(c), iterations=iterations)
+        )
+        for c in values
+    ]
+
+
+def _no_single_fit(rows: int) -> Estimator:
+    raise ValueError("a radial machine is fitted with its grid")
+
+
+def radial_svm_grid(
+    values: Sequence[float] = SVM_C, gammas: Sequence[float] = SVM_GAMMA
+) -> list[Candidate]:
+    """Machines with a radial kernel, by random Fourier features: every C with every gamma."""
+    return [
+        Candidate({"c": float(c), "gamma": float(g)}, _no_single_fit, Machine("svm", float(c), float(g)))
         for c in values
+        for g in gammas
     ]
 
 
@@ -223,8 +245,11 @@ def grid_search(
 
     In every fold a quarter of the other rows chooses the candidate (the first of the
     best in grid order); the chosen model is scored on the other rows, on the fold
-    and on the hold-out.
+    and on the hold-out.  Grids of linear and radial machines are fitted together, all
+    points and folds in the passes of one fit; others one by one.
     """
+    if all(c.machine for c in candidates):
+        return _searched_together(data, candidates, row_id, label, fold, folds, holdout)
     spark = data.sparkSession
     kept = data.select(quoted(row_id), quoted(label), quoted(fold), "features").persist(
         StorageLevel.MEMORY_AND_DISK
@@ -258,17 +283,51 @@ def grid_search(
             chosen.append(tuple(line))
     finally:
         kept.unpersist()
+    return _results(spark, names, tried, chosen, holdout is not None, models)
+
+
+def _results(
+    spark: SparkSession, names: Sequence[str], tried: list[tuple], chosen: list[tuple], holdout: bool, models: list[Model]
+) -> GridResult:
     params = ", ".join(f"{n} double" for n in names)
-    last = ", holdout double" if holdout is not None else ""
+    last = ", holdout double" if holdout else ""
     return GridResult(
         spark.createDataFrame(tried, f"fold int, place int, {params}, accuracy double"),
-        spark.createDataFrame(
-            chosen, f"fold int, place int, {params}, train double, validation double{last}"
-        ),
+        spark.createDataFrame(chosen, f"fold int, place int, {params}, train double, validation double{last}"),
         models,
     )
 
 
+def _searched_together(
+    data: DataFrame, candidates: Sequence[Candidate], row_id: str, label: str, fold: str, folds: int, holdout: DataFrame | None
+) -> GridResult:
+    """Three passes beside those of the fit: one over the rows before it, one over rows and hold-out after it."""
+    # Another seed than the folds': with the same hash order the quarter would lie inside the first folds.
+    rows = prepared(data, label, fold, in_holdout(quoted(row_id), seed=SEED + 1), "features")
+    rows.folds = folds
+    try:
+        fit = fit_grid(rows, [c.machine for c in candidates])
+        hits = grid_hits(rows, fit)
+        held = None
+        if holdout is not None:
+            test = prepared(holdout.withColumn("__fold", F.lit(0)), label, "__fold", F.lit(False), "features", rows.classes)
+            held = grid_hits(test, fit)
+            test.table.unpersist()
+    finally:
+        rows.table.unpersist()
+    share = lambda cell: float(cell[0] / cell[1]) if cell[1] else None
+    names = list(candidates[0].params)
+    tried, chosen, models = [], [], []
+    for f in range(folds):
+        scores = [share(hits[p, f, 0]) for p in range(len(candidates))]
+        tried += [(f, p, *[c.params[n] for n in names], scores[p]) for p, c in enumerate(candidates)]
+        best = max(range(len(scores)), key=lambda i: (scores[i] or 0.0, -i))
+        line = [f, best, *[candidates[best].params[n] for n in names], share(hits[best, f, 1]), share(hits[best, f, 2])]
+        chosen.append(tuple(line + ([share(held[best, f, 3])] if held is not None else [])))
+        models.append(MachineModel.of(fit, best, f))
+    return _results(data.sparkSession, names, tried, chosen, holdout is not None, models)
+
+
 def fit_pipeline(train: DataFrame, layout: FeatureLayout, estimator: Estimator) -> PipelineModel:
     """Features and classifier in one pipeline that can be saved."""
     features = fit_features(train, layout)
