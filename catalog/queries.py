@@ -22,7 +22,7 @@ from colprism.operators.longform import melt
 from colprism.operators.profile import column_agg, melt_profile, profile, profile_wide
 from colprism.operators.samplefeatures import sample_features
 from colprism.operators.sampling import filled_samples, sample_rows, sample_values
-from colprism.plans import classify
+from colprism.plans import classify, semantic
 from colprism.plans.extract import extract_features, featurize_table
 from colprism.sources.tables import select_described, union_all
 
@@ -850,3 +850,34 @@ def _(spark, d):
     size = features.transform(train).select("features").first()["features"].size
     model = classify.fit_pipeline(train, _LAYOUT, classify.perceptron(size, 2))
     return classify.score(test, model, ["source", "lang"]).select("doc_id", "label", "prediction")
+
+
+def _typed_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Features and hand-written types of all columns of all tables, stored once as they are read by every step of a fit."""
+    parts = []
+    for name, types in sql.COLUMN_TYPES.items():
+        named = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
+        rows = featurize_table(table(spark, d, name)).withColumn("table_name", F.lit(name))
+        parts.append(rows.withColumn(semantic.LABEL, F.try_element_at(named, F.col("Attribute_name"))))
+    # One row per column: a handful of partitions, whatever those of the tables are.
+    return union_all(*parts).coalesce(2).persist()
+
+
+@query(
+    "column_types",
+    "SELECT * FROM (VALUES "
+    + ", ".join(f"('{t}', '{c}', '{k}')" for t, types in sql.COLUMN_TYPES.items() for c, k in types.items())
+    + ") AS v(table_name, column_name, predicted)",
+)
+def _(spark, d):
+    """Types of all columns of all tables, from the raw tables by one pipeline that was fitted on them."""
+    labelled = _typed_columns(spark, d)
+    model = semantic.fit_types(labelled, classify.logistic(100.0, labelled.count()), drop_bad=False)
+    labelled.unpersist()
+    found = [
+        semantic.predict_types(table(spark, d, t), model).select(
+            F.lit(t).alias("table_name"), F.col("Attribute_name").alias("column_name"), "predicted"
+        )
+        for t in sql.COLUMN_TYPES
+    ]
+    return union_all(*found)

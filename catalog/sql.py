@@ -263,3 +263,42 @@ def column_features(
         f"({sample_features(source, columns, order, spread, legacy, steady)}) s "
         f'ON p."{key}" = s."column"'
     )
+
+
+# The semantic type of every column of the test tables, written by hand.
+COLUMN_TYPES = {
+    "region": {"r_regionkey": "not-generalizable", "r_name": "categorical"},
+    "nation": {"n_nationkey": "not-generalizable", "n_name": "categorical", "n_regionkey": "categorical"},
+    "customer": {
+        "c_custkey": "not-generalizable", "c_name": "embedded-number", "c_nationkey": "categorical",
+        "c_acctbal": "numeric", "c_mktsegment": "categorical",
+    },
+    "supplier": {
+        "s_suppkey": "not-generalizable", "s_name": "embedded-number", "s_nationkey": "categorical", "s_acctbal": "numeric",
+    },
+    "part": {
+        "p_partkey": "not-generalizable", "p_name": "context-specific", "p_brand": "categorical", "p_type": "categorical",
+        "p_size": "numeric", "p_retailprice": "numeric",
+    },
+    "orders": {
+        "o_orderkey": "not-generalizable", "o_custkey": "not-generalizable", "o_orderstatus": "categorical",
+        "o_totalprice": "numeric", "o_orderdate": "datetime", "o_orderpriority": "categorical",
+    },
+    "lineitem": {
+        "l_orderkey": "not-generalizable", "l_partkey": "not-generalizable", "l_suppkey": "not-generalizable",
+        "l_linenumber": "categorical", "l_quantity": "numeric", "l_extendedprice": "numeric", "l_discount": "numeric",
+        "l_tax": "numeric", "l_returnflag": "categorical", "l_linestatus": "categorical", "l_shipdate": "datetime",
+    },
+    "events": {
+        "event_id": "not-generalizable", "ts": "datetime", "user_id": "not-generalizable", "event_type": "categorical",
+        "value": "numeric", "props": "context-specific",
+    },
+    "documents": {
+        "doc_id": "not-generalizable", "text": "sentence", "lang": "categorical", "source": "categorical", "n_chars": "numeric",
+    },
+    "embeddings": {"vec_id": "not-generalizable", "embedding": "list", "label": "categorical"},
+    "pages": {"page_id": "not-generalizable", "url": "url", "html": "context-specific"},
+    "benchmark": {"item_id": "not-generalizable", "text": "sentence"},
+    "labels": {"doc_id": "not-generalizable", "quality": "categorical", "toxic": "categorical"},
+    "conversations": {"conv_id": "not-generalizable", "turn": "numeric", "role": "categorical", "text": "sentence"},
+}
