@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +28,10 @@ def sample_features(
     spread: str = "column",
     null_as_text: bool = False,
     use_legacy_names: bool = False,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per column of a (column, value) table: samples, flags, mean and deviation
-    of the counts.
+    of the counts; ``keep`` names columns of ``samples`` that go along.
 
     A flag is true if at least three of the samples match.  ``spread="column"`` takes
     mean and population deviation over the samples of each column; ``"table"`` sums
@@ -38,12 +41,13 @@ def sample_features(
     if spread not in ("column", "table"):
         raise ValueError(f"spread must be 'column' or 'table', not {spread!r}")
     value = text_or_nan(F.col("value")) if null_as_text else F.col("value")
-    measured = filled_samples(samples, n).select("column", "i", "value", *value_features(value))
+    measured = filled_samples(samples, n, keep).select("column", "i", "value", *keep, *value_features(value))
 
     votes = [
         (F.count_if(F.col(f)) >= VOTES_NEEDED).alias(f) for f in FLAG_FEATURES
     ]
     shown = [F.max(F.when(F.col("i") == i, F.col("value"))).alias(f"sample_{i}") for i in range(n)]
+    shown += [F.max(k).alias(k) for k in keep]
     if spread == "column":
         spreads = [
             e
@@ -57,6 +61,7 @@ def sample_features(
         table = Window.partitionBy(F.lit(1))
         per_column = totals.select(
             "column",
+            *keep,
             *[f"sample_{i}" for i in range(n)],
             *FLAG_FEATURES,
             *[
@@ -79,7 +84,7 @@ def sample_features(
     )
     names = feature_names(n)
     return result.select(
-        "column", *[F.col(k).alias(v if use_legacy_names else k) for k, v in names.items()]
+        "column", *keep, *[F.col(k).alias(v if use_legacy_names else k) for k, v in names.items()]
     )
 
 

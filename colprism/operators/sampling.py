@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colprism.fixed_values import SAMPLE_COUNT
-from colprism.functions.cells import any_hash, as_text, is_floating, quoted
+from colprism.functions.cells import any_hash, as_text, distinct_key, is_floating, is_word, quoted
 from colprism.operators.longform import chosen_fields, explode_cells
 
 _BUCKETS = 256
@@ -119,6 +119,64 @@ def _near_by_order(
     )
 
 
+def _counted_and_bounded(df: DataFrame, fields: list[T.StructField], n: int, semantics: str) -> DataFrame:
+    """(pos, distinct, bound): the exact number of different cells and the MD5 bound of each column, by one shuffle.
+
+    The different keys of all columns are one table.  One key in 64, picked by its hash,
+    carries its text, and the bound comes from these.  A key has one text: zeros, which
+    can be written with a sign, carry none.
+    """
+
+    def parts(c: Column, f: T.StructField) -> dict[str, Column]:
+        counted = F.when(~F.isnan(c), c) if semantics == "pandas" and is_floating(f.dataType) else c
+        key = distinct_key(counted, f.dataType)
+        words = is_word(f.dataType)
+        shown = F.pmod(key if words else F.xxhash64(key), F.lit(_ONE_IN)) == 0
+        if is_floating(f.dataType):
+            shown = shown & (c != 0)
+        none = F.lit(None)
+        return {
+            "word": key if words else none.cast("bigint"),
+            "short": none.cast("string") if words else key,
+            "value": F.when(shown, as_text(c, f.dataType)),
+        }
+
+    names = F.array(*[F.lit(f.name) for f in fields])
+    keys = explode_cells(df, fields, parts).distinct()
+    hashed = F.coalesce("word", F.xxhash64("short"))
+    bucket = F.when(F.col("value").isNotNull(), F.pmod(F.shiftright(hashed, 6), F.lit(_BUCKETS)))
+    rank = _leading_bits(order_hash(F.get(names, F.col("pos")), F.col("value")))
+    sums = keys.groupBy("pos", bucket.alias("bucket")).agg(
+        F.count(F.coalesce("word", F.when(F.col("short").isNotNull(), F.lit(0)))).alias("n"),
+        F.min(F.when(F.col("value").isNotNull(), rank)).alias("low"),
+    )
+    return sums.groupBy("pos").agg(
+        F.sum("n").alias("distinct"), F.get(F.sort_array(F.collect_list("low")), F.lit(n - 1)).alias("bound")
+    )
+
+
+def counts_and_samples(
+    df: DataFrame, n: int, columns: Sequence[str] | None = None, *, semantics: str = "spark", keep_null: bool = False
+) -> DataFrame:
+    """(column, value, rn, distinct): the samples of :func:`sample_rows`, each with the exact distinct count of its column.
+
+    Two scans: one counts and bounds, one picks the samples.  A column without a value
+    has no row.
+    """
+    fields = chosen_fields(df, columns)
+    told = _counted_and_bounded(df, fields, n, semantics)
+    bound = F.lpad(F.lower(F.hex("bound")), _HEX_DIGITS, "0")
+    near = (
+        _cells(df, fields, keep_null, None)
+        # One row per column: the broadcast is bounded by the schema.
+        .join(F.broadcast(told), "pos", "left")
+        .where(F.col("bound").isNull() | (F.substring(_hash_of_cell(), 1, _HEX_DIGITS) <= bound))
+    )
+    near = near.select("pos", "column", "value", "distinct").distinct()
+    in_order = Window.partitionBy("pos").orderBy(_hash_of_cell(), F.col("value").asc_nulls_first())
+    return near.withColumn("rn", F.row_number().over(in_order)).where(F.col("rn") <= n).select("column", "value", "rn", "distinct")
+
+
 def sample_rows(
     df: DataFrame,
     n: int = SAMPLE_COUNT,
@@ -175,17 +233,18 @@ def fill_up(values: Column, n: int) -> Column:
     ).otherwise(values)
 
 
-def filled_samples(samples: DataFrame, n: int = SAMPLE_COUNT) -> DataFrame:
-    """(column, i, value): exactly ``n`` values per column, from (column, value[, rn])."""
-    return ranked_samples(samples, n).select(
-        "column", F.posexplode(fill_up(F.col("listed"), n)).alias("i", "value")
+def filled_samples(samples: DataFrame, n: int = SAMPLE_COUNT, keep: Sequence[str] = ()) -> DataFrame:
+    """(column, i, value): exactly ``n`` values per column, from (column, value[, rn]); ``keep`` goes along."""
+    return ranked_samples(samples, n, keep).select(
+        "column", *keep, F.posexplode(fill_up(F.col("listed"), n)).alias("i", "value")
     )
 
 
-def ranked_samples(samples: DataFrame, n: int) -> DataFrame:
+def ranked_samples(samples: DataFrame, n: int, keep: Sequence[str] = ()) -> DataFrame:
     """(column, listed): at most ``n`` values per column as an array, in sample order.
 
-    The row number cuts every group to ``n`` before anything is collected.
+    The row number cuts every group to ``n`` before anything is collected.  ``keep``
+    names columns that are the same in all rows of a column.
     """
     order = [order_hash(F.col("column"), F.col("value")), F.col("value").asc_nulls_first()]
     if "rn" in samples.columns:
@@ -196,5 +255,5 @@ def ranked_samples(samples: DataFrame, n: int) -> DataFrame:
         samples.withColumn("place", F.row_number().over(in_order))
         .where(F.col("place") <= n)
         .groupBy("column")
-        .agg(F.transform(ordered, lambda s: s["value"]).alias("listed"))
+        .agg(F.transform(ordered, lambda s: s["value"]).alias("listed"), *[F.max(k).alias(k) for k in keep])
     )
