@@ -17,9 +17,9 @@ from colprism.fixed_values import (
 from colprism.functions.cells import quoted
 from colprism.functions.numeric import abs_limit_1000, abs_limit_10000
 from colprism.functions.values import VALUE_FEATURES, value_features
-from colprism.operators import encoders, evaluate, folds, neighbours, prep, quality, scaleout
+from colprism.operators import encoders, evaluate, folds, neighbours, prep, quality, scaleout, states
 from colprism.operators.longform import melt
-from colprism.operators.profile import column_agg, melt_profile, profile, profile_wide
+from colprism.operators.profile import column_agg, distinct_counts, melt_profile, profile, profile_wide
 from colprism.operators.samplefeatures import sample_features
 from colprism.operators.sampling import filled_samples, sample_rows, sample_values
 from colprism.plans import classify, semantic
@@ -110,6 +110,28 @@ for _s in ("spark", "pandas"):
         lambda spark, d, s=_s: steadied(profile(_with_holes(spark, d), semantics=s))
     )
 
+def _halves(spark: SparkSession, d: str, name: str, key: str) -> list[DataFrame]:
+    rows = table(spark, d, name)
+    return [states.profile_state(rows.where(F.col(key) % 3 == i)) for i in range(3)]
+
+
+@query(
+    "profile_merged_orders",
+    f'SELECT name, "count", nans, nans_percent, mean, std, "min", "max", true AS close FROM ({sql.profile("orders", sql.TABLE_COLUMNS["orders"])})',
+)
+def _(spark, d):
+    """The merged states of three parts are the profile of the whole; distinct counts within a twentieth."""
+    whole = distinct_counts(table(spark, d, "orders")).withColumnRenamed("distinct", "exact")
+    state = states.merged(*_halves(spark, d, "orders", "o_orderkey"))
+    found = states.finished(state).join(state.select("name", "pos"), "name").join(whole, "pos")
+    close = F.abs(F.col("distinct") - F.col("exact")) <= F.col("exact") * 0.05
+    return steadied(found.select("name", "count", "nans", "nans_percent", "mean", "std", "min", "max", close.alias("close")))
+
+
+query("samples_merged_customer", sql.samples("customer", sql.TABLE_COLUMNS["customer"], 5))(
+    lambda spark, d: states.samples_of(states.merged(*_halves(spark, d, "customer", "c_custkey"))).withColumn("rn", F.col("rn").cast("bigint"))
+)
+
 query("profile_approx_lineitem")(
     lambda spark, d: profile(table(spark, d, "lineitem"), distinct="approx")
 )
