@@ -23,14 +23,17 @@ _WALK = 33
 _STRETCH = 4096
 
 
+def source_key(source: Column) -> Column:
+    # "s..." sorts after "null": the sort key below puts null last.
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("null"))
+
+
 def sized(docs: DataFrame, id: str, text: str, source: str, seed: int) -> DataFrame:
     """src, id, size, key, part of every row; stored, so the texts are read once."""
     rows = narrowed(docs, id=id, text=text, source=source)
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
     key = F.xxhash64(F.lit(seed), "id", "text")
-    src = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))
-    # "s..." sorts after "null": the sort key below puts null last.
-    return stored(rows.select(src.alias("src"), "id", words.alias("size"), key.alias("key"), F.pmod(key, F.lit(PARTS)).alias("part")))
+    return stored(rows.select(source_key(F.col("source")).alias("src"), "id", words.alias("size"), key.alias("key"), F.pmod(key, F.lit(PARTS)).alias("part")))
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -179,21 +182,23 @@ def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
 
     A row of which nothing is taken goes; one that is taken just once and whole keeps its
     text as it is; otherwise the text is the words taken, in the order of the slots, with
-    single spaces.  Rows with equal id and text are told apart by their order.
+    single spaces.  Rows with equal id, text and source are told apart by a hash of all
+    their columns; rows of other sources are never taken for them.
     """
     rows = sized(docs, id, text, source, seed)
     wanted = stored(targets(rows))
-    at = placed(rows.withColumn("copy", F.col("key")))
-    same = Window.partitionBy("copy").orderBy("src", "start")
+    at = placed(rows.withColumn("copy", F.xxhash64("key", "src")))
+    same = Window.partitionBy("copy").orderBy("start")
     at = stored(at.withColumn("nth", F.row_number().over(same)))
     parts = segments(at, slots(wanted, seed=seed))
     parts = parts.groupBy("src", "start").agg(
         F.sort_array(F.collect_list(F.struct("epoch", "slot", "from", "to"))).alias("segments")
     )
     own = at.where("size > 0").join(parts, ["src", "start"]).select("copy", "nth", "size", "segments")
-    key = F.xxhash64(F.lit(seed), column(id), column(text))
+    key = F.xxhash64(F.xxhash64(F.lit(seed), column(id), column(text)), source_key(column(source)))
+    hashable = [column(f.name) for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
     numbered = docs.withColumn("__copy", key).withColumn(
-        "__nth", F.row_number().over(Window.partitionBy("__copy").orderBy(F.col("__copy")))
+        "__nth", F.row_number().over(Window.partitionBy("__copy").orderBy(F.xxhash64(*hashable)))
     )
     own = own.withColumnsRenamed({c: f"__{c}" for c in own.columns})
     joined = numbered.join(own, ["__copy", "__nth"])

@@ -70,3 +70,20 @@ def test_ball_is_whole(radius):
     for q in range(0, 250, 10):
         apart = [sum(int(a ^ b).bit_count() for a, b in zip(codes[q], c)) for c in codes]
         assert table.within(codes[q], radius).tolist() == [i for i, n in enumerate(apart) if n <= radius]
+
+
+def test_probing_and_verifying_all_find_the_same():
+    draw = np.random.Generator(np.random.PCG64(8))
+    codes = draw.integers(0, 1 << 16, (500, 16), dtype=np.uint16)
+    near = codes[:20] ^ (1 << draw.integers(0, 16, (20, 16))).astype(np.uint16)
+    table = annsearch.Table(np.concatenate([codes, near]))
+    for radius in (0, 5, 15, 31, 110, 256):
+        want = [np.flatnonzero(d <= radius).tolist() for d in annsearch.distances(codes[:30], table.codes)]
+        assert [table.within(c, radius).tolist() for c in codes[:30]] == want
+        assert [r.tolist() for r in table.within_all(codes[:30], radius)] == want
+
+
+def test_ids_that_are_no_numbers(spark):
+    rows = [("0", [1.0, 0.0]), ("x", [1.0, 0.0]), ("7", [0.5, 0.5]), ("9", [0.0, 1.0])]
+    got = annsearch.nearest(spark.createDataFrame(rows, "vec_id string, embedding array<double>")).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1, 7), (0, 2, 9)]

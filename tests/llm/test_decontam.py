@@ -106,3 +106,12 @@ def test_pieces():
         for k in (0, 1, 7):
             parts = pieces("x" * n, k)
             assert len(parts) == k + 1 and "".join(p for _, p in parts) == "x" * n and all(p for _, p in parts)
+
+
+def test_items_with_ids_of_another_type(spark):
+    docs = spark.createDataFrame([("d1", "so it says: the quick brown fox jumps over the lazy dog today")], "doc_id string, text string")
+    items = spark.createDataFrame([("mmlu/7", "The quick brown fox jumps over the lazy dog"), (None, "says: the")], "item_id string, text string")
+    got = {(r.doc_id, r.item_id) for r in find_leaks(docs, items, least=1).collect()}
+    assert got == {("d1", "mmlu/7"), ("d1", None)}
+    assert decontaminated(docs, items, least=1).count() == 0
+    assert dict(find_leaks(docs, items.limit(0)).dtypes)["item_id"] == "string"

@@ -101,3 +101,19 @@ def test_shards_draw_from_all(spark):
         assert sorted(r.block for r in got if (r.src, r.epoch) == (src, epoch)) == list(range(n))
     shares = Counter(r.shard for r in got if r.src == "b")
     assert len(shares) == 200 and 3 <= min(shares.values()) + 3 and max(shares.values()) < 35
+
+
+def test_equal_rows_of_two_sources_are_not_swapped(spark):
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(40 + i % 30))
+    rows = [(i, words(i), s) for s in ("s1", "s2") for i in range(60)]
+    want = {(w[4]): w[3] for w in plan(rows)}
+    found = []
+    for order in ("source", "source DESC", "rand(1)"):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").orderBy(F.expr(order)).repartition(3)
+        got = mixing.mixed(docs).collect()
+        taken = Counter()
+        for r in got:
+            taken[r.source] += r.taken
+        assert all(abs(taken[s] - t) < 1.001 for s, t in want.items())
+        found.append(Counter(map(tuple, got)))
+    assert found[0] == found[1] == found[2]
