@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from colprism.llm.shared import narrowed
 
@@ -129,7 +131,7 @@ class Searcher:
                 yield k, *best
 
 
-def _search(batches: Iterator[pa.RecordBatch], items: list, rate: float) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], items: list, rate: float, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     searcher = Searcher(items, rate)
     for batch in batches:
         rows, which, edits, ends = [], [], [], []
@@ -143,7 +145,7 @@ def _search(batches: Iterator[pa.RecordBatch], items: list, rate: float) -> Iter
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0).take(pa.array(rows, pa.int64())),
-                pa.array([searcher.patterns[k][0] for k in which], pa.int64()),
+                pa.array([searcher.patterns[k][0] for k in which], kind),
                 pa.array(edits, pa.int32()),
                 pa.array(ends, pa.int32()),
                 pa.array([len(searcher.patterns[k][1].item) for k in which], pa.int32()),
@@ -159,11 +161,11 @@ def _without(batches: Iterator[pa.RecordBatch], at: int, items: list, rate: floa
         yield batch.filter(pa.array(clean, pa.bool_()))
 
 
-def passes(items: DataFrame, item_id: str, item_text: str, least: int = LEAST) -> Iterator[list[tuple[int, str]]]:
+def passes(items: DataFrame, item_id: str, item_text: str, least: int = LEAST) -> Iterator[list[tuple[Any, str]]]:
     """The items to look for, in lists of about ``PASS`` characters; the driver holds one list at a time."""
     asked = narrowed(items, id=item_id, text=item_text).where("text IS NOT NULL")
     block, size = [], 0
-    for r in asked.select(F.col("id").cast("bigint").alias("id"), "text").orderBy("id", "text").toLocalIterator():
+    for r in asked.orderBy("id", "text").toLocalIterator():
         item = plain(r.text)
         if len(item) < max(least, 1):
             continue
@@ -200,11 +202,12 @@ def find_leaks(
     """
     rows = narrowed(docs, id=id, text=text)
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, item bigint, edits int, ends_at int, item_chars int"
+    own = items.schema[item_id].dataType
+    schema = f"id {kind}, item {own.simpleString()}, edits int, ends_at int, item_chars int"
     context = rows.sparkSession.sparkContext
 
     def look(told) -> DataFrame:
-        return rows.mapInArrow(lambda b: _search(b, told.value, rate), schema)
+        return rows.mapInArrow(lambda b: _search(b, told.value, rate, to_arrow_type(own)), schema)
 
     found = None
     for block in passes(items, item_id, item_text, least):
