@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -101,30 +102,51 @@ class Table:
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.pieces = []
-        for j in range(codes.shape[1]):
-            order = np.argsort(codes[:, j], kind="stable")
-            values, starts = np.unique(codes[order, j], return_index=True)
-            self.pieces.append((values, np.append(starts, len(order)), order))
+        self._pieces: list[tuple[np.ndarray, np.ndarray]] = []
+
+    @property
+    def pieces(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each substring: the rows in the order of its value, and where each value starts among them."""
+        if not self._pieces:
+            for j in range(self.codes.shape[1]):
+                starts = np.cumsum(np.bincount(self.codes[:, j], minlength=1 << PIECE))
+                self._pieces.append((np.argsort(self.codes[:, j], kind="stable"), np.concatenate([[0], starts])))
+        return self._pieces
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """All rows whose codes are at most ``radius`` bits from ``code``.
+        """All rows whose codes are at most ``radius`` bits from ``code``, by probing.
 
         If all m substrings differed in more than radius / m bits, the codes would differ
-        in more than ``radius``.  So rows are looked up by each substring at that many
-        bits; values that occur are listed, which is the whole ball where it is larger
-        than the table.  What is retrieved is verified on the whole code.
+        in more than ``radius``.  So the ball of that many bits around each substring is
+        looked up, and what is found is verified on the whole code.
         """
-        small = radius // len(self.pieces)
         seen = np.zeros(len(self.codes), bool)
-        for j, (values, starts, order) in enumerate(self.pieces):
-            for b in np.flatnonzero(_ONES[values ^ code[j]] <= small):
-                seen[order[starts[b] : starts[b + 1]]] = True
+        ball = np.flatnonzero(_ONES <= radius // self.codes.shape[1])
+        for j, (order, starts) in enumerate(self.pieces):
+            probes = ball ^ int(code[j])
+            full = probes[starts[probes + 1] > starts[probes]]
+            for v in full.tolist():
+                seen[order[starts[v] : starts[v + 1]]] = True
             if seen.all():
                 break
         rows = np.flatnonzero(seen)
         return rows[distances(code[None], self.codes[rows])[0] <= radius] if len(rows) else rows
 
+    def within_all(self, codes: np.ndarray, radius: int) -> Iterator[np.ndarray]:
+        """The rows of ``within`` for each of ``codes``.
+
+        Where the balls of all substrings hold more values than the table has rows, probing
+        would find nearly all rows: then all are verified at once, which finds the same.
+        """
+        m = self.codes.shape[1]
+        if m * sum(math.comb(PIECE, i) for i in range(min(PIECE, radius // m) + 1)) < len(self.codes):
+            for code in codes:
+                yield self.within(code, radius)
+            return
+        for lo in range(0, len(codes), ASKED):
+            for near in distances(codes[lo : lo + ASKED], self.codes) <= radius:
+                yield np.flatnonzero(near)
+
 
 def _vectors(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -149,8 +171,9 @@ def _probe(batches: Iterator[pa.RecordBatch], queries, coder: Coder, k: int, exa
             part = batch.slice(lo, TABLE)
             own, rows = part.column(0).to_numpy(), _vectors(part.column(1))
             table = Table(np.frombuffer(b"".join(part.column(2).to_pylist()), "<u2").astype(np.uint16).reshape(len(own), -1))
-            for q, query in enumerate(vectors):
-                at = np.arange(len(own)) if exact else table.within(asked[q], coder.radius)
+            every = np.arange(len(own))
+            found = (every for _ in ids) if exact else table.within_all(asked, coder.radius)
+            for q, (query, at) in enumerate(zip(vectors, found)):
                 at = at[own[at] != ids[q]]
                 if len(at):
                     score = cosines(query, rows[at])
@@ -165,7 +188,7 @@ def _probe(batches: Iterator[pa.RecordBatch], queries, coder: Coder, k: int, exa
 
 def usable(vectors: DataFrame, id: str, vector: str) -> DataFrame:
     """id, vector (doubles) of the rows that take part: a whole vector of the commonest length, finite and not zero."""
-    rows = narrowed(vectors, id=id, vector=vector).select(F.col("id").cast("bigint").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    rows = narrowed(vectors, id=id, vector=vector).select(F.col("id").try_cast("bigint").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("id").isNotNull() & fine & F.exists("vector", lambda x: x != 0))
     common = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
@@ -210,6 +233,7 @@ def nearest(
 
     Every row's code is indexed and stored.  Queries look up, task by task, every code
     within the learnt radius.  A query that gets fewer than k is compared with all rows.
+    Ids that are no whole numbers take no part.
     """
     rows = usable(vectors, id, vector)
     first = rows.first()
