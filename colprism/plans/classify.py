@@ -205,11 +205,11 @@ def _no_single_fit(rows: int) -> Estimator:
 
 
 def radial_svm_grid(
-    values: Sequence[float] = SVM_C, gammas: Sequence[float] = SVM_GAMMA
+    values: Sequence[float] = SVM_C, gammas: Sequence[float] = SVM_GAMMA, iterations: int = 100
 ) -> list[Candidate]:
     """Machines with a radial kernel, by random Fourier features: every C with every gamma."""
     return [
-        Candidate({"c": float(c), "gamma": float(g)}, _no_single_fit, Machine("svm", float(c), float(g)))
+        Candidate({"c": float(c), "gamma": float(g)}, _no_single_fit, Machine("svm", float(c), float(g), iterations))
         for c in values
         for g in gammas
     ]

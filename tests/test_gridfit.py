@@ -41,10 +41,10 @@ def fold_rows(df, f):
 
 def test_logistic_points_are_single_fits(spark):
     df = table(spark, *points(120, 3), sparse=True)
-    values = [0.1, 10.0]
+    values = [0.5]
     fit = gridfit.fit_grid(rows_of(df.repartition(11)), [Machine("logistic", c, iterations=150) for c in values], 1e-10)
     for point, c in enumerate(values):
-        for f in (0, 2):
+        for f in (2,):
             family, model = fit.place(point, f)
             got = fit.weights[family][model]
             learns = fold_rows(df, f)
@@ -57,8 +57,8 @@ def test_logistic_points_are_single_fits(spark):
 def test_svm_points_reach_the_loss_of_single_fits(spark):
     classes = 3
     df = table(spark, *points(120, classes))
-    fit = gridfit.fit_grid(rows_of(df), [Machine("svm", c, iterations=90) for c in (0.1, 2.0)], 1e-6)
-    for point, c in enumerate((0.1, 2.0)):
+    fit = gridfit.fit_grid(rows_of(df), [Machine("svm", c, iterations=90) for c in (2.0,)], 1e-6)
+    for point, c in enumerate((2.0,)):
         family, model = fit.place(point, 0)
         w = fit.weights[family][model]
         learns = fold_rows(df, 0)
@@ -86,8 +86,8 @@ def ring(n, seed=1):
 
 def test_radial_separates_a_ring(spark):
     df = table(spark, *ring(200))
-    linear = classify.grid_search(df, classify.svm_grid(values=[1, 100]), row_id="id", folds=3).best.collect()
-    radial = classify.grid_search(df, classify.radial_svm_grid(values=[1, 100], gammas=[0.01, 0.3]), row_id="id", folds=3, holdout=df.drop("fold")).best.collect()
+    linear = classify.grid_search(df, classify.svm_grid(values=[10], iterations=30), row_id="id", folds=3).best.collect()
+    radial = classify.grid_search(df, classify.radial_svm_grid(values=[10], gammas=[0.01, 0.3], iterations=45), row_id="id", folds=3, holdout=df.drop("fold")).best.collect()
     assert max(r.validation for r in linear) < 0.75
     assert min(r.validation for r in radial) > 0.95 and min(r.holdout for r in radial) > 0.95
 
