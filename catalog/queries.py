@@ -24,7 +24,7 @@ from colprism.operators.samplefeatures import sample_features
 from colprism.operators.sampling import filled_samples, sample_rows, sample_values
 from colprism.plans import classify, semantic
 from colprism.plans.extract import extract_features, featurize_table
-from colprism.sources.tables import select_described, union_all
+from colprism.sources.tables import read_csv_rescued, scratch_folder, select_described, union_all
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -132,6 +132,29 @@ query("samples_merged_customer", sql.samples("customer", sql.TABLE_COLUMNS["cust
     lambda spark, d: states.samples_of(states.merged(*_halves(spark, d, "customer", "c_custkey"))).withColumn("rn", F.col("rn").cast("bigint"))
 )
 
+_TORN = "c_custkey % 7 = 3"
+
+
+@query(
+    "csv_rescued_customer",
+    "SELECT c_mktsegment, count(*) FILTER (NOT torn) AS good, sum(c_custkey) FILTER (NOT torn) AS keys, "
+    "count(*) FILTER (torn) AS rescued FROM "
+    f"(SELECT *, {_TORN} OR c_custkey % 11 = 5 AS torn FROM customer) GROUP BY c_mktsegment",
+)
+def _(spark, d):
+    """The table as CSV lines, some torn and some with a word for a number: read back in two lanes."""
+    rows = table(spark, d, "customer")
+    number = F.when(F.col("c_custkey") % 11 == 5, F.lit("n/a")).otherwise(F.col("c_acctbal").cast("string"))
+    line = F.concat_ws(",", "c_custkey", "c_name", "c_nationkey", number, "c_mktsegment")
+    line = F.when(F.expr(_TORN), F.concat_ws(",", "c_custkey", "c_mktsegment")).otherwise(line)
+    path = scratch_folder(spark)
+    rows.select(line).write.text(path)
+    good, rescued = read_csv_rescued(spark, path, rows.schema, header=False)
+    good = good.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("good"), F.sum("c_custkey").cast("decimal(38,0)").alias("keys"))
+    bad = rescued.groupBy(F.element_at(F.split("record", ","), -1).alias("c_mktsegment")).agg(F.count(F.lit(1)).alias("rescued"))
+    return good.join(bad, "c_mktsegment", "left").fillna(0, ["rescued"])
+
+
 query("profile_approx_lineitem")(
     lambda spark, d: profile(table(spark, d, "lineitem"), distinct="approx")
 )

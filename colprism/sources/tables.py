@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colprism.fixed_values import STATS_25, TEXT_COLUMNS
+from colprism.functions.cells import quoted
 
 _FLAGS = {"has_delimiters", "has_url", "has_email", "has_date", "is_list", "is_long_sentence"}
 _WHOLE = {"total_vals", "num_nans", "num_of_dist_val"}
@@ -46,16 +50,54 @@ def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
-def read_labelled(spark: SparkSession, path: str | list[str], format: str | None = None) -> DataFrame:
+RESCUED = "_corrupt_record"
+
+
+def read_csv_rescued(
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str, multi_line: bool = False, header: bool = True, **options: str
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, rescued) of CSV files, as a rule with a header: rows that fit the schema, and the lines that do not.
+
+    ``rescued`` has ``file``, ``record`` (the line as it is) and ``cells_read``.  A line
+    with another number of cells, or a cell that is not of its column's type, is rescued
+    whole; every line is in one of the two.  Whole lines are parsed whatever columns are
+    used later, so a line does not change lanes with the query.  A file is cut among
+    tasks at its line ends; records with line ends inside need ``multi_line``, which
+    makes each file one task.
+    """
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    whole = T.StructType([*kind.fields, T.StructField(RESCUED, T.StringType())])
+    reader = spark.read.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RESCUED)
+    reader = reader.option("columnPruning", "false").options(escape='"', **options)
+    lines = reader.csv(path, header=header, multiLine=multi_line, enforceSchema=True)
+    cells = F.size(F.array_compact(F.array(*[quoted(f.name).cast("string") for f in kind.fields])))
+    # The tests look at every cell, so that no query can leave all columns but the record unread.
+    bad = F.col(RESCUED).isNotNull() & (cells >= 0)
+    fine = F.col(RESCUED).isNull() & (cells >= 0)
+    rescued = lines.select(
+        F.col("_metadata.file_path").alias("file"), F.col(RESCUED).alias("record"), cells.alias("cells_read"), bad.alias("bad")
+    )
+    return lines.where(fine).drop(RESCUED), rescued.where("bad").drop("bad")
+
+
+def rescued_counts(rescued: DataFrame) -> DataFrame:
+    """(file, lines): how many lines of each file were rescued."""
+    return rescued.groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def read_labelled(
+    spark: SparkSession, path: str | list[str], format: str | None = None, multi_line: bool = False
+) -> DataFrame:
     """A labelled table of column features; ``format`` is csv or parquet, else told by the file ending.
 
     Columns are taken by name: the header decides the order, the fixed schema the types.
-    A cell that is not of its column's type is NULL.
+    A cell that is not of its column's type is NULL.  Cells with line ends inside need
+    ``multi_line``, which reads each file in one task.
     """
     first = path if isinstance(path, str) else path[0]
     if (format or ("csv" if first.endswith((".csv", ".csv.gz")) else "parquet")) != "csv":
         return read_parquet(spark, path)
-    text = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    text = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
     known = {f.name: f.dataType for f in LABELLED_SCHEMA.fields}
     # A count may be written as 12 or as 12.0.
     return text.select(
@@ -82,6 +124,19 @@ def select_described(df: DataFrame, described: DataFrame, record: int) -> DataFr
     return df.select(*["`" + c.replace("`", "``") + "`" for c in df.columns if c in names])
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder's name in the shared storage that ``spark.checkpoint.dir`` names.
+
+    Only a local session may have none: its machine is its cluster.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="scratch-")
+    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, path: str, mode: str = "error") -> DataFrame:
     """Write once, read back: the stored form of a result, shared by later jobs."""
     df.write.mode(mode).parquet(path)
