@@ -20,12 +20,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def scratch(spark: SparkSession) -> str:
     """A new folder in the shared storage that ``spark.checkpoint.dir`` names.
 
-    Where a session names none (tests, a laptop) one is made and set.
+    Where a local session (tests, a laptop) names none, one is made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
