@@ -917,7 +917,7 @@ def _typed_columns(spark: SparkSession, d: str) -> DataFrame:
 def _(spark, d):
     """Types of all columns of all tables, from the raw tables by one pipeline that was fitted on them."""
     labelled = _typed_columns(spark, d)
-    model = semantic.fit_types(labelled, classify.logistic(100.0, labelled.count()), drop_bad=False)
+    model = semantic.fit_types(labelled, classify.logistic(100.0, labelled.count(), iterations=50), drop_bad=False)
     labelled.unpersist()
     found = [
         semantic.predict_types(table(spark, d, t), model).select(
