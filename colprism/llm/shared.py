@@ -89,7 +89,7 @@ def text_bytes(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, n
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
+    """Row by row, so that the batch is not held twice."""
     whole, cuts = text_bytes(batch, name)
-    raw = whole.tobytes()
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        yield raw[a:b]
+        yield whole[a:b].tobytes()
