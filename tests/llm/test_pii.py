@@ -134,3 +134,79 @@ def test_no_two_share_a_surrogate_where_room_is_small(spark):
     given = surrogates(known).collect()
     assert len(given) == known.select("kind", "canon").distinct().count() == 126
     assert len({(r.kind, r.surrogate) for r in given}) == 126
+
+
+def luhn(digits):
+    values = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+    return sum(v - 9 * (v > 9) for v in values) % 10 == 0
+
+
+def mod_97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def test_surrogates_pass_what_their_originals_passed(spark):
+    import random
+
+    draw = random.Random(5)
+
+    def card(start, n):
+        body = start + "".join(draw.choices("0123456789", k=n - len(start) - 1))
+        return next(body + c for c in "0123456789" if luhn(body + c))
+
+    def iban(country, account):
+        return f"{country}{98 - mod_97(country + '00' + account):02d}{account}"
+
+    cards = [card(s, n) for s, n in [("4", 16), ("4", 13), ("51", 16), ("37", 15), ("6011", 16), ("30", 14)] for _ in range(5)]
+    ibans = [iban("DE", "370400440532013000"), iban("GB", "WEST12345698765432"), iban("NO", "86011117947"), "FR7630006000011234567890180"]
+    rows = [f"a {c} b" for c in cards + ibans] + ["a 4111111111111112 b"]
+    got = replaced(spark, rows)
+    for i, c in enumerate(cards):
+        new = got[i][2:-2]
+        assert luhn(new) and len(new) == len(c) and new[:2] == c[:2] and new != c, (c, new)
+    for i, c in enumerate(ibans, len(cards)):
+        new = got[i][2:-2]
+        assert (mod_97(new) == 1) == (mod_97(c) == 1) and new[:2] == c[:2] and new != c
+        assert re.sub(r"\d", "9", new) == re.sub(r"\d", "9", c) or re.search("[A-Z]", c[2:])
+        assert len(new) == len(c)
+    assert re.fullmatch(r"a 41\d{14} b", got[len(rows) - 1])
+
+
+def test_addresses_keep_to_their_range(spark):
+    import ipaddress
+
+    own = ["10.0.0.1", "192.168.1.7", "172.20.0.4", "127.0.0.1", "169.254.3.3"]
+    got = replaced(spark, [f"at {a} now" for a in own + ["8.8.8.8", "172.32.0.1", "192.169.1.1"]])
+    nets = ["10.0.0.0/8", "192.168.0.0/16", "172.16.0.0/12", "127.0.0.0/8", "169.254.0.0/16"] + ["240.0.0.0/4"] * 3
+    for i, net in enumerate(nets):
+        assert ipaddress.ip_address(got[i].split(" ")[1]) in ipaddress.ip_network(net)
+    # A range that is in use as a whole leaves for the next.
+    full = " ".join(f"192.168.{a}.{b}" for a in range(256) for b in range(256))
+    new = replaced(spark, [full])[0].split(" ")
+    assert len(set(new)) == 65536 and all(a.startswith("10.") for a in new)
+
+
+def test_phones_and_names_keep_their_shape(spark):
+    rows = ["+49 170 1234567", "+358 40 1234567", "+1 (415) 555-0123", "030 1234567", "078-05-1120", "999-05-1120"]
+    rows += ["Mr SMITH and Mr Smith", "Frau Anna Maria Schmidt", "Dr. J.R. Smith, Mr J. SMITH", "Mrs Anna SCHMIDT. Anna SCHMIDT"]
+    got = replaced(spark, rows)
+    for i, shape in enumerate([r"\+49 [1-9]\d{2} \d{7}", r"\+358 [1-9]\d \d{7}", r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}", r"0[1-9]\d \d{7}"]):
+        assert re.fullmatch(shape, got[i]) and got[i] != rows[i], got[i]
+    assert re.fullmatch(r"[0-8]\d\d-\d\d-\d{4}", got[4]) and not got[4].startswith("666") and got[5][0] != "0"
+    a, b = re.fullmatch(r"Mr ([A-Z-]+) and Mr ([A-Z][\w-]+)", got[6]).groups()
+    assert a == b.upper() != "SMITH" and not b.isupper()
+    assert re.fullmatch(r"Frau [A-Z][a-z]+ [A-Z][a-z]+ [A-Z][\w-]+", got[7])
+    assert re.fullmatch(r"Dr\. [A-Z]\.[A-Z]\. [A-Z][a-z][\w-]*, Mr [A-Z]\. [A-Z-]+", got[8])
+    a, b = re.fullmatch(r"Mrs (.+)\. (.+)", got[9]).groups()
+    assert a == b != "Anna SCHMIDT" and re.fullmatch("[A-Z][a-z]+ [A-Z-]+", a)
+
+
+def test_key_of_the_session(spark):
+    from colprism.llm import pii
+
+    assert len(pii.session_key(spark)) == 64 == len({pii.session_key(spark)} | set(range(63)))
+    spark.conf.set(pii.KEY_SETTING, "own")
+    try:
+        assert replaced(spark, ["a@b.com"], None) == replaced(spark, ["a@b.com"], "own")
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
