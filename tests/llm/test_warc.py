@@ -73,3 +73,40 @@ def test_broken_streams():
     for bad in (whole[:-12], gzip.compress(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nab\r\n\r\n"), gzip.compress(b"HTTP\r\n\r\n")):
         with pytest.raises(ValueError):
             list(warc.split_records(warc.inflated(io.BytesIO(bad))))
+
+
+def test_copies_are_written_as_revisits(spark, tmp_path):
+    warc.write_archives(frame(spark, ROWS).coalesce(1), f"{tmp_path}/streams", revisits=True)
+    archives = warc.normalise(spark, f"{tmp_path}/streams", f"{tmp_path}/archives")
+    [row] = archives.collect()
+    data = Path(row.archive).read_bytes()
+    got = []
+    for line in Path(f"{row.archive}.idx").read_text().splitlines():
+        at, n, kind, name = line.split(" ")
+        member = gzip.decompress(data[int(at) : int(at) + int(n)])
+        head, http, body = member.split(b"\r\n\r\n", 2)
+        assert f"WARC-Type: {kind}\r\n".encode() in head and f"WARC-Record-ID: {name}".encode() in head
+        # The block is as long as its header says.
+        size = next(int(h[15:]) for h in head.split(b"\r\n") if h.startswith(b"Content-Length:"))
+        assert len(http) + 4 + len(body) - 4 == size
+        refers = [h[16:].decode() for h in head.split(b"\r\n") if h.startswith(b"WARC-Refers-To: ")]
+        if kind == "revisit":
+            assert body == b"\r\n\r\n" and b"WARC-Profile: http" in head and b"WARC-Payload-Digest: sha1:" in head and refers
+        else:
+            assert not refers
+        got.append((name, kind, refers))
+    assert ("<urn:page:7>", "revisit", ["<urn:page:1>"]) in got and ("<urn:page:5>", "revisit", ["<urn:page:0>"]) in got
+    assert sum(kind == "revisit" for _, kind, _ in got) == 5 and len(data) < 20_000
+    records = warc.read_archives(archives, f"{tmp_path}/archives")
+    assert {r.payload is None for r in records.where("record_type = 'revisit'").collect()} == {True}
+    whole = [(r.id, bytes(r.payload)) for r in warc.with_payloads(records).collect()]
+    assert sorted(whole) == sorted((str(i) if i is not None else "", (h or "").encode()) for i, h in ROWS)
+
+
+def test_digest_is_that_of_the_payload(spark):
+    texts = ["", "a", "é😀\x00", "x" * 100_000]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", warc.digest(warc.F.col("t")).alias("d")).collect()
+    assert all(r.d == base64.b32encode(hashlib.sha1(r.t.encode()).digest()).decode() for r in got)
+    member = gzip.compress(b"WARC/1.1\r\nWARC-Payload-Digest: sha1:AA\r\nContent-Length: 2\r\n\r\nab\r\n\r\n")
+    with pytest.raises(ValueError):
+        warc.described(member)
