@@ -2,44 +2,54 @@
 
 The distance is a metric, so the triangle inequality can rule out most points unseen:
 
-1. A few training points serve as pivots.  Every training point belongs to the cell of its
-   nearest pivot and, by its distance to it, to a ring of that cell.
-2. From the ring sizes alone each query gets a radius that surely holds its k nearest.
-3. Rings are joined or cut into blocks of bounded size, and a block is one row.  A look
-   into the nearest block tightens the radius.
-4. A query visits only the blocks that its radius can reach; a visit yields at most k rows.
+1. One training point in ``block_rows`` (at most 32,768) is the pivot of a leaf; some of
+   these are the pivots of cells, which hold the leaves next to them.  Every point goes to
+   the nearest leaf of its nearest cell, so leaves are as many as the table asks for.
+2. The number of points of the cells and how far they lie from their pivots give each
+   query a radius that surely holds its k nearest.
+3. A look into the leaves next to the query tightens the radius.
+4. A query visits only the leaves that its radius can reach; a visit yields at most k rows.
 
 Edit and Euclidean distances to the pivots are kept apart, so that the one index bounds the
 distance for every alpha: a search for many alphas places, looks and visits once, with a
-radius for each.
+radius for each.  The points of a leaf and the queries that visit it meet in one Arrow
+group, whose distances are computed many at a time; a leaf with many visitors has several.
 
-Identical training points beyond the first k can never be chosen (ties go to the smaller
-id) and are dropped; identical queries are answered once.  So copies, however many, load
-neither a block nor a task.
+Identical training points are one point with the k smallest ids, as no others can ever be
+chosen; identical queries are answered once.  So copies, however many, load neither a leaf
+nor a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+import sys
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colprism.fixed_values import NEIGHBOUR_ALPHAS, NEIGHBOUR_COUNTS
 from colprism.functions.cells import quoted
-from colprism.functions.constants import sql_double, sql_doubles, sql_text, struct_array
-from colprism.functions.distances import edit_distance, edit_distance_up_to, euclidean_distance, euclidean_of
+from colprism.functions.edits import edit_distances
 from colprism.functions.numeric import text_or_nan
 from colprism.operators.evaluate import best_of_grid, hit_rate
-from colprism.operators.folds import shuffle_hash
 
-_RINGS_PER_OCTAVE = 8
-_RING_LIMIT = 160
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
+
 #: Stands for a missing group, which is one of its own.
 _NO_GROUP = -(1 << 31)
+#: Leaves at most; the driver and every task hold their pivots and ranges.
+_LEAVES = 1 << 15
+#: Queries that one group of a leaf gets, even if all visit it.
+_VISITORS = 1 << 16
+_ROWS = 2048
+_PAIRS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -73,284 +83,336 @@ class PointColumns:
         )
 
 
-def _weighed(alpha: float, euclid: Column, edit: Column) -> Column:
-    return edit if alpha == 0 else F.lit(float(alpha)) * euclid + edit
+# ---------------------------------------------------------------- points in Arrow tasks
 
 
-@dataclass(frozen=True)
-class _Index:
-    """What the driver holds: pivots and ring sizes, bounded whatever the table's size.
+def _names(column: pa.Array) -> tuple[list[str], np.ndarray]:
+    """(the different names, the number of each row's)."""
+    coded = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    coded = coded.dictionary_encode()
+    texts = [b.decode("utf-8", "surrogateescape") for b in coded.dictionary.to_pylist()]
+    return texts, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
-    Cells and rings go by the middle alpha; ranges and reach are known for each.
-    """
 
-    alphas: list[float]
-    k: int
-    pivots: list[tuple[str, list[float]]]
-    bands: list[dict]
-    reach: dict[int | None, list[list[float | None]]]
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    """Rows of a column of lists of one length."""
+    flat = pc.list_flatten(column)
+    return flat.to_numpy(zero_copy_only=False).reshape(rows, -1) if rows else np.zeros((0, 0))
 
-    @property
-    def base(self) -> int:
-        return sorted(range(len(self.alphas)), key=lambda i: self.alphas[i])[len(self.alphas) // 2]
-
-    def pivot_distances(self) -> Column:
-        """An array of (edit, euclid)."""
-        pivots = struct_array([{"name": sql_text(n), "x": sql_doubles(x)} for n, x in self.pivots])
-        return F.transform(
-            pivots,
-            lambda p: F.struct(
-                edit_distance(F.col("name"), p["name"]).cast("double").alias("edit"),
-                euclidean_distance(F.col("x"), p["x"]).alias("euclid"),
-            ),
-        )
 
-    def each(self, of: Callable[[int, float], Column]) -> list[Column]:
-        return [of(i, alpha) for i, alpha in enumerate(self.alphas)]
+def _lists(values: np.ndarray) -> pa.Array:
+    ends = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(values).ravel()))
 
-    def any(self, of: Callable[[int, float], Column]) -> Column:
-        return reduce(or_, self.each(of))
 
+def _euclid(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    total = np.zeros(np.broadcast_shapes(x.shape, y.shape)[:-1])
+    with np.errstate(invalid="ignore", over="ignore"):
+        for d in range(x.shape[-1]):
+            gap = x[..., d] - y[..., d]
+            total += gap * gap
+    return np.where(np.isnan(total), np.inf, np.sqrt(total))
 
-def _radius(i: int) -> Column:
-    return F.get("radii", F.lit(i))
 
+def _weighed(alpha: float, euclid: np.ndarray, edit: np.ndarray) -> np.ndarray:
+    return edit.astype(float) if alpha == 0 else alpha * euclid + edit
 
-def _choose_pivots(train: DataFrame, count: int) -> list[tuple[str, list[float]]]:
-    """Different points of lowest hash; ``8 * count`` rows reach the driver at most."""
-    rows = train.orderBy(shuffle_hash(F.col("id")), "id").limit(8 * count).collect()
-    different = dict.fromkeys((r["name"], tuple(r["x"])) for r in rows)
-    return [(n, list(x)) for n, x in list(different)[:count]]
 
+# ---------------------------------------------------------------- leaves and cells
 
-def _placed(points: DataFrame, index: _Index) -> DataFrame:
-    """Adds cell, both distances to its pivot and ring (eight rings per doubling of distance)."""
-    alpha = index.alphas[index.base]
-    near = F.array_min(
-        F.transform(
-            index.pivot_distances(),
-            lambda d, i: F.struct(
-                _weighed(alpha, d["euclid"], d["edit"]).alias("r"), i.alias("cell"),
-                d["edit"].alias("edit"), d["euclid"].alias("euclid"),
-            ),
-        )
-    )
-    ring = F.floor(F.log2("near.r") * _RINGS_PER_OCTAVE)
-    bounded = F.greatest(F.least(ring, F.lit(_RING_LIMIT)), F.lit(-_RING_LIMIT))
-    return points.withColumn("near", near).select(
-        *points.columns,
-        "near.cell", "near.edit", "near.euclid",
-        F.when(F.col("near.r") <= 0, F.lit(-_RING_LIMIT - 1)).otherwise(bounded).cast("int").alias("ring"),
-    )
 
+@dataclass
+class _Tree:
+    """Pivots of leaves, cells of leaves, and where their points lie: bounded by ``_LEAVES``."""
 
-def _survey(placed: DataFrame, index: _Index, block_rows: int, grouped: bool) -> _Index:
-    """Bands of neighbouring rings with their ranges, and how far from a pivot its k-th
-    point can be, for each alpha.
-
-    The collected table has one row per pivot, ring and group; rings are limited in number.
-    """
-    r = index.each(lambda _, alpha: _weighed(alpha, F.col("euclid"), F.col("edit")))
-    counted = placed.groupBy("cell", "ring", "grp").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*map(F.min, r)).alias("low"),
-        F.array(*map(F.max, r)).alias("high"),
-    ).collect()
-    bands: list[dict] = []
-    for ring in _merged(counted):
-        last = bands[-1] if bands else None
-        if last and last["cell"] == ring["cell"] and last["n"] + ring["n"] <= block_rows:
-            _widen(last, ring)
-            last["rings"].append(ring["ring"])
-        else:
-            bands.append(ring | {"band": len(bands), "rings": [ring["ring"]]})
-    for band in bands:
-        band["parts"] = -(-band["n"] // block_rows)
-    reach = {None: _reach(counted, index)}
-    if grouped:
-        for own in {c["grp"] for c in counted}:
-            reach[own] = _reach([c for c in counted if c["grp"] != own], index)
-    return _Index(index.alphas, index.k, index.pivots, bands, reach)
-
-
-def _widen(ring: dict, by) -> None:
-    ring["n"] += by["n"]
-    ring["low"] = list(map(min, ring["low"], by["low"]))
-    ring["high"] = list(map(max, ring["high"], by["high"]))
-
-
-def _merged(counted: list) -> list[dict]:
-    """The rings over all groups, in order of cell and distance."""
-    rings: dict[tuple[int, int], dict] = {}
-    for c in sorted(counted, key=lambda c: (c["cell"], c["ring"])):
-        ring = rings.setdefault(
-            (c["cell"], c["ring"]),
-            {"cell": c["cell"], "ring": c["ring"], "n": 0, "low": c["low"], "high": c["high"]},
-        )
-        _widen(ring, c)
-    return list(rings.values())
-
-
-def _reach(counted: list, index: _Index) -> list[list[float | None]]:
-    """Per alpha and pivot a distance within which its cell has k points; None if it has fewer."""
-    out = []
-    for i in range(len(index.alphas)):
-        far: list[float | None] = [None] * len(index.pivots)
-        seen = [0] * len(index.pivots)
-        for c in sorted(counted, key=lambda c: c["high"][i]):
-            cell = c["cell"]
-            seen[cell] += c["n"]
-            if far[cell] is None and seen[cell] >= index.k:
-                far[cell] = c["high"][i]
-        out.append(far)
-    return out
-
-
-def _located(queries: DataFrame, index: _Index, grouped: bool) -> DataFrame:
-    """Adds the distances to the pivots, and a radius for each alpha from the ring sizes alone."""
-    reach = struct_array(
-        [
-            {
-                "grp": "cast(null AS int)" if g is None else f"cast({g} AS int)",
-                "far": f"array({', '.join(map(sql_doubles, far))})",
-            }
-            for g, far in index.reach.items()
-        ]
-    )
-    anyone = F.get(F.filter(reach, lambda e: e["grp"].isNull()), F.lit(0))["far"]
-    own = F.get(F.filter(reach, lambda e: e["grp"] == F.col("grp")), F.lit(0))["far"]
-    far = F.coalesce(own, anyone) if grouped else anyone
-
-    def surely(i: int, alpha: float) -> Column:
-        reached = F.zip_with(
-            F.col("to_pivots"), F.get(far, F.lit(i)), lambda d, f: _weighed(alpha, d["euclid"], d["edit"]) + f
-        )
-        return F.coalesce(F.array_min(reached), F.lit(float("inf")))
-
-    located = queries.withColumn("to_pivots", index.pivot_distances())
-    return located.withColumn("radii", F.array(*index.each(surely)))
-
+    alphas: list[float]
+    names: list[str]
+    x: np.ndarray
+    tops: np.ndarray  # of each cell: the leaf whose pivot is its own
+    cells: list[np.ndarray]  # of each cell: its leaves
+    ranges: np.ndarray | None = None  # leaves x (least and most edit, least and most euclid, most for each alpha)
+    counts: np.ndarray | None = None  # of each leaf: rows outside the largest group
+    wide: np.ndarray | None = None  # cells x (most edit, most euclid, most for each alpha)
 
-def _bands(index: _Index) -> Column:
-    return struct_array(
+    @property
+    def base(self) -> float:
+        return sorted(self.alphas)[len(self.alphas) // 2]
+
+    def to_tops(self, names: list[str], number: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """rows x cells: edit and Euclidean distances to their pivots."""
+        i, j = np.indices((len(names), len(self.tops))).reshape(2, -1)
+        edit = edit_distances(names, [self.names[t] for t in self.tops], i, j).reshape(len(names), -1)
+        return edit[number], _euclid(x[:, None], self.x[self.tops][None])
+
+    def to_leaves(self, names: list[str], number: np.ndarray, x: np.ndarray, rows: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray]:
+        """rows x leaves of a cell: edit and Euclidean distances to their pivots."""
+        leaves = self.cells[cell]
+        some, place = np.unique(number[rows], return_inverse=True)
+        i, j = np.indices((len(some), len(leaves))).reshape(2, -1)
+        edit = edit_distances([names[s] for s in some], [self.names[l] for l in leaves], i, j).reshape(len(some), -1)
+        return edit[place], _euclid(x[rows][:, None], self.x[leaves][None])
+
+    def nearest_leaves(
+        self, names: list[str], number: np.ndarray, x: np.ndarray, tops: tuple[np.ndarray, np.ndarray], alpha: float
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(leaf, edit, euclid) of the nearest leaf in the nearest cell."""
+        cell = _weighed(alpha, tops[1], tops[0]).argmin(1)
+        leaf, edit, euclid = np.zeros(len(x), np.int32), np.zeros(len(x)), np.zeros(len(x))
+        for c in np.unique(cell):
+            rows = np.flatnonzero(cell == c)
+            e, u = self.to_leaves(names, number, x, rows, c)
+            at = _weighed(alpha, u, e).argmin(1)
+            leaf[rows], edit[rows], euclid[rows] = self.cells[c][at], e[np.arange(len(rows)), at], u[np.arange(len(rows)), at]
+        return leaf, edit, euclid
+
+    def surveyed(self, told: list) -> None:
+        """Takes the ranges of the leaves, and bounds those of the cells by them."""
+        self.counts = np.zeros(len(self.names), np.int64)
+        self.ranges = np.tile(np.array([np.inf, -np.inf] * 2 + [-np.inf] * len(self.alphas)), (len(self.names), 1))
+        for r in told:
+            self.counts[r["leaf"]] = r["n"]
+            self.ranges[r["leaf"]] = [r["e0"], r["e1"], r["u0"], r["u1"], *r["most"]]
+        wide = []
+        for c, leaves in enumerate(self.cells):
+            top = self.tops[c]
+            i = np.zeros(len(leaves), np.int64)
+            e = edit_distances([self.names[top]], [self.names[l] for l in leaves], i, np.arange(len(leaves)))
+            u = _euclid(self.x[leaves], self.x[top])
+            far = self.ranges[leaves]
+            most = [(_weighed(a, u, e) + far[:, 4 + k]).max() for k, a in enumerate(self.alphas)]
+            wide.append([(e + far[:, 1]).max(), (u + far[:, 3]).max(), *most])
+        self.wide = np.array(wide)
+
+    def sure_radii(self, tops: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
+        """rows x alphas: a distance within which there are k rows of another group, by the cells alone."""
+        held = np.array([self.counts[leaves].sum() for leaves in self.cells])
+        out = []
+        for a, alpha in enumerate(self.alphas):
+            far = np.where(held > 0, _weighed(alpha, tops[1], tops[0]) + self.wide[:, 2 + a], np.inf)
+            order = far.argsort(1)
+            enough = held[order].cumsum(1) >= k
+            at = enough.argmax(1)
+            rows = np.arange(len(far))
+            out.append(np.where(enough[rows, at], far[rows, order[rows, at]], np.inf))
+        return np.stack(out, 1)
+
+    def reached(self, edit: np.ndarray, euclid: np.ndarray, radii: np.ndarray, least_most: tuple, most: np.ndarray) -> np.ndarray:
+        """Whether a query, by its distances to a pivot, can have points within its radius; true where that cannot be told."""
+        e0, e1, u0, u1 = least_most
+        with np.errstate(invalid="ignore"):
+            e = np.maximum(np.maximum(edit - e1, e0 - edit), 0)
+            u = np.maximum(np.maximum(euclid - u1, u0 - euclid), 0)
+            out = np.zeros(edit.shape, bool)
+            for a, alpha in enumerate(self.alphas):
+                near = np.maximum(_weighed(alpha, u, e), _weighed(alpha, euclid, edit) - most[:, a])
+                out |= ~(near > radii[:, a][:, None])
+        return out
+
+
+def _tree(points: DataFrame, alphas: list[float], block_rows: int, pivots: int | None) -> _Tree:
+    n = points.count()
+    if not n:
+        raise ValueError("there are no training rows")
+    leaves = min(max(1, n // block_rows), _LEAVES)
+    hashed = F.pmod(F.xxhash64("name", "x", "grp"), F.lit(n))
+    rows = points.where(hashed < leaves).select("name", "x").distinct().collect() or points.select("name", "x").limit(1).collect()
+    pairs = sorted((r["name"].encode("utf-8", "surrogateescape"), tuple(r["x"])) for r in rows)
+    draw = np.random.Generator(np.random.PCG64(1))
+    pairs = [pairs[i] for i in draw.permutation(len(pairs))]
+    x = np.array([p[1] for p in pairs], float).reshape(len(pairs), -1)
+    names = [p[0].decode("utf-8", "surrogateescape") for p in pairs]
+    tops = np.arange(min(pivots or math.isqrt(len(pairs) - 1) + 1, len(pairs)))
+    tree = _Tree(alphas, names, x, tops, [])
+    near = np.concatenate(
         [
-            {
-                "cell": str(b["cell"]),
-                "band": str(b["band"]),
-                "low": sql_doubles(b["low"]),
-                "high": sql_doubles(b["high"]),
-                "parts": str(b["parts"]),
-            }
-            for b in index.bands
+            _weighed(tree.base, *tree.to_tops(names[lo : lo + _ROWS], np.arange(len(x[lo : lo + _ROWS])), x[lo : lo + _ROWS])[::-1]).argmin(1)
+            for lo in range(0, len(x), _ROWS)
         ]
     )
+    near[tops] = tops  # of two like pivots each keeps its own
+    tree.cells = [np.flatnonzero(near == c) for c in range(len(tops))]
+    return tree
 
 
-def _to_pivot(alpha: float, band: Column) -> Column:
-    d = F.get("to_pivots", band["cell"])
-    return _weighed(alpha, d["euclid"], d["edit"])
-
-
-def _gap(i: int, alpha: float, band: Column) -> Column:
-    """How far a query's distance to the pivot is from the range of a band."""
-    d = _to_pivot(alpha, band)
-    return F.greatest(F.get(band["low"], F.lit(i)) - d, d - F.get(band["high"], F.lit(i)), F.lit(0.0))
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(some rows, different names, the number of each row's, statistics)."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, _ROWS):
+            part = batch.slice(lo, _ROWS)
+            names, number = _names(part.column("name"))
+            yield part, names, number, _matrix(part.column("x"), part.num_rows)
 
 
-def _found(index: _Index, dims: int, grouped: bool) -> Column:
-    """(euclid, edit, id, label) of the points of the joined block within the radius of any alpha.
-
-    One step per test, cheapest first, so that no step computes anything twice.
-    """
-
-    def possible(p: Column) -> Column:
-        euclid, edit = F.abs(F.col("d.euclid") - p["euclid"]), F.abs(F.col("d.edit") - p["edit"])
-        near = index.any(lambda i, alpha: _weighed(alpha, euclid, edit) <= _radius(i))
-        return near & (p["grp"] != F.col("grp")) if grouped else near
+def _added(part: pa.RecordBatch, rows: np.ndarray | None, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    part = part if rows is None else part.take(pa.array(rows))
+    return pa.RecordBatch.from_arrays([*part.columns, *columns.values()], [*part.schema.names, *columns])
 
-    def with_euclid(p: Column) -> Column:
-        euclid = euclidean_of(F.col("x"), p["x"], dims)
-        return F.struct(euclid.alias("euclid"), p["name"].alias("name"), p["id"].alias("id"), p["label"].alias("label"))
 
-    def room(p: Column) -> Column:
-        return F.array_max(F.array(*index.each(lambda i, alpha: _radius(i) - _weighed(alpha, p["euclid"], F.lit(0.0)))))
+def _placed(points: DataFrame, tree: _Tree) -> DataFrame:
+    """Adds the leaf of each point and both distances to its pivot."""
 
-    def with_edit(p: Column) -> Column:
-        limit = F.floor(F.least(room(p), F.lit(1e9))).cast("int")
-        edit = edit_distance_up_to(F.col("name"), p["name"], limit)
-        return F.struct(p["euclid"].alias("euclid"), edit.alias("edit"), p["id"].alias("id"), p["label"].alias("label"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, names, number, x in _batches(batches):
+            found = tree.nearest_leaves(names, number, x, tree.to_tops(names, number, x), tree.base)
+            yield _added(part, None, dict(zip(("leaf", "edit", "euclid"), map(pa.array, found))))
 
-    by_euclid = F.transform(F.filter("points", possible), with_euclid)
-    close = F.filter(by_euclid, lambda p: room(p) >= 0)
-    return F.filter(F.transform(close, with_edit), lambda p: p["edit"] >= 0)
+    return points.mapInArrow(run, f"{_schema(points)}, leaf int, edit double, euclid double")
 
 
-def _total(alpha: float, p: Column) -> Column:
-    return _weighed(alpha, p["euclid"], p["edit"].cast("double"))
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"{quoted_name} {kind}" for quoted_name, kind in df.dtypes)
 
 
-def _tightened(located: DataFrame, blocks: DataFrame, index: _Index, dims: int, grouped: bool) -> DataFrame:
-    """Replaces each radius by the k-th distance found in the one block next to the query."""
-    i, alpha = index.base, index.alphas[index.base]
-    here = F.array_min(
-        F.transform(
-            _bands(index),
-            lambda b: F.struct(
-                (_gap(i, alpha, b) + _to_pivot(alpha, b)).alias("gap"),
-                b["band"].alias("band"), b["parts"].alias("parts"), b["cell"].alias("cell"),
-            ),
-        )
+def _survey(placed: DataFrame, tree: _Tree) -> DataFrame:
+    """One row per leaf."""
+    weighed = [F.col("edit") if a == 0 else F.lit(a) * F.col("euclid") + F.col("edit") for a in tree.alphas]
+    by_group = placed.groupBy("leaf", "grp").agg(
+        F.sum(F.size("copies")).alias("n"),
+        F.min("edit").alias("e0"), F.max("edit").alias("e1"), F.min("euclid").alias("u0"), F.max("euclid").alias("u1"),
+        *[F.max(w).alias(f"m{i}") for i, w in enumerate(weighed)],
     )
-    home = (
-        located.withColumn("here", here)
-        .withColumn("band", F.col("here.band"))
-        .withColumn("part", F.pmod(F.xxhash64("name"), F.col("here.parts")).cast("int"))
-        .withColumn("d", F.get("to_pivots", F.col("here.cell")))
+    most = [F.max(f"m{i}") for i in range(len(weighed))]
+    return by_group.groupBy("leaf").agg(
+        (F.sum("n") - F.max("n")).alias("others"), F.sum("n").alias("all"),
+        F.min("e0").alias("e0"), F.max("e1").alias("e1"), F.min("u0").alias("u0"), F.max("u1").alias("u1"),
+        F.array(*most).alias("most"),
     )
 
-    def radius(i: int, alpha: float) -> Column:
-        kth = F.get(F.array_sort(F.transform("found", lambda p: _total(alpha, p))), F.lit(index.k - 1))
-        # The slack covers rounding in the triangle inequality.
-        far = F.array_max(F.transform("to_pivots", lambda d: _weighed(alpha, d["euclid"], d["edit"])))
-        return F.least(kth, _radius(i)) + F.lit(1e-9) * (F.lit(1.0) + far)
-
-    looked = home.join(blocks, ["band", "part"], "left").withColumn("found", _found(index, dims, grouped))
-    return looked.select("id", "name", "x", "grp", "to_pivots", F.array(*index.each(radius)).alias("radii"))
-
-
-def _visits(located: DataFrame, index: _Index) -> DataFrame:
-    """(query and the blocks it must look into)."""
-    reached = F.filter(_bands(index), lambda b: index.any(lambda i, alpha: _gap(i, alpha, b) <= _radius(i)))
-    wanted = F.flatten(
-        F.transform(
-            reached,
-            lambda b: F.transform(
-                F.sequence(F.lit(0), b["parts"] - 1),
-                lambda part: F.struct(
-                    b["cell"].alias("cell"), b["band"].alias("band"), part.alias("part")
-                ),
-            ),
-        )
-    )
-    return located.select(
-        "id", "name", "x", "grp", "to_pivots", "radii", F.explode(wanted).alias("b")
-    ).select(
-        "id", "name", "x", "grp", "radii", "b.band", "b.part",
-        F.get("to_pivots", F.col("b.cell")).alias("d"),
-    )
 
-
-def _best(index: _Index) -> Column:
-    """(alpha, distance, id, label): up to k of the points found, for each alpha."""
-
-    def best(i: int, alpha: float) -> Column:
-        summed = F.transform(
-            "found", lambda p: F.struct(_total(alpha, p).alias("distance"), p["id"].alias("id"), p["label"].alias("label"))
-        )
-        within = F.slice(F.array_sort(F.filter(summed, lambda p: p["distance"] <= _radius(i))), 1, index.k)
-        return F.transform(within, lambda p: F.struct(F.lit(float(alpha)).alias("alpha"), p.alias("p")))
-
-    return F.flatten(F.array(*index.each(best)))
+def _located(askers: DataFrame, tree: _Tree, k: int) -> DataFrame:
+    """A row for each leaf to look into first: the nearest ones by the smallest, middle and largest alpha."""
+    looks = list(dict.fromkeys([min(tree.alphas), tree.base, max(tree.alphas)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, names, number, x in _batches(batches):
+            tops = tree.to_tops(names, number, x)
+            radii = tree.sure_radii(tops, k)
+            # The slack covers rounding in the triangle inequality.
+            far = [_weighed(a, np.where(np.isinf(tops[1]), 0, tops[1]), tops[0]).max(1) for a in tree.alphas]
+            slack = 1e-9 * (1 + np.stack(far, 1))
+            homes = np.stack([tree.nearest_leaves(names, number, x, tops, a)[0] for a in looks], 1)
+            homes.sort(1)
+            new = np.ones(homes.shape, bool)
+            new[:, 1:] = homes[:, 1:] != homes[:, :-1]
+            rows, at = np.nonzero(new)
+            radii = _lists((radii + slack)[rows])
+            yield _added(part, rows, {"radii": radii, "slack": _lists(slack[rows]), "leaf": pa.array(homes[rows, at])})
+
+    return askers.mapInArrow(run, f"{_schema(askers)}, radii array<double>, slack array<double>, leaf int")
+
+
+def _visits(askers: DataFrame, tree: _Tree) -> DataFrame:
+    """A row for each query and leaf that it must look into."""
+    narrow = (0.0, math.inf, 0.0, math.inf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, names, number, x in _batches(batches):
+            radii = _matrix(part.column("radii"), part.num_rows)
+            edit, euclid = tree.to_tops(names, number, x)
+            cells = tree.reached(edit, euclid, radii, (narrow[0], tree.wide[:, 0], narrow[2], tree.wide[:, 1]), tree.wide[:, 2:])
+            for c, leaves in enumerate(tree.cells):
+                rows = np.flatnonzero(cells[:, c])
+                if not len(rows):
+                    continue
+                far = tree.ranges[leaves]
+                e, u = tree.to_leaves(names, number, x, rows, c)
+                reached = tree.reached(e, u, radii[rows], (far[:, 0], far[:, 1], far[:, 2], far[:, 3]), far[:, 4:])
+                i, j = np.nonzero(reached & (tree.ranges[leaves, 1] >= 0))  # others are empty
+                if len(i):
+                    yield _added(part, rows[i], {"leaf": pa.array(leaves[j].astype(np.int32))})
+
+    return askers.mapInArrow(run, f"{_schema(askers)}, leaf int")
+
+
+# ---------------------------------------------------------------- queries in a leaf
+
+
+def _met(queries: pa.Table, points: pa.Table, alphas: list[float], k: int, grouped: bool) -> Iterator[tuple]:
+    """(alpha, query, copy, distance) of up to k copies of points within the radius, nearest first, some queries at a time."""
+    qn, qi = _names(queries.column("name"))
+    pn, pi = _names(points.column("name"))
+    qx, px = _matrix(queries.column("x").combine_chunks(), queries.num_rows), _matrix(points.column("x").combine_chunks(), points.num_rows)
+    radii = _matrix(queries.column("radii").combine_chunks(), queries.num_rows)
+    qg, pg = queries.column("grp").to_numpy(), points.column("grp").to_numpy()
+    ql, pl = np.array([len(n) for n in qn])[qi], np.array([len(n) for n in pn])[pi]
+    sizes = pc.list_value_length(points.column("copies")).to_numpy().astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    ids = pc.list_flatten(points.column("copies").combine_chunks()).field("id")
+    rank = np.empty(len(ids), np.int64)
+    rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    step = max(1, _PAIRS // points.num_rows)
+    for lo in range(0, queries.num_rows, step):
+        some = slice(lo, lo + step)
+        u = _euclid(qx[some][:, None], px[None])
+        # Names differ by what their lengths differ by, at least.
+        least = np.abs(ql[some][:, None] - pl[None])
+        near = np.zeros(u.shape, bool)
+        for a, alpha in enumerate(alphas):
+            near |= _weighed(alpha, u, least) <= radii[some, a][:, None]
+        if grouped:
+            near &= qg[some][:, None] != pg[None]
+        q, p = np.nonzero(near)
+        u = u[q, p]
+        q += lo
+        e = edit_distances(qn, pn, qi[q], pi[p])
+        for a, alpha in enumerate(alphas):
+            d = _weighed(alpha, u, e)
+            within = np.flatnonzero(d <= radii[q, a])
+            times = sizes[p[within]]
+            of = np.repeat(within, times)
+            copy = starts[p[of]] + np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+            order = np.lexsort((rank[copy], d[of], q[of]))
+            of, copy = of[order], copy[order]
+            first = np.searchsorted(q[of], q[of], side="left")
+            kept = np.arange(len(of)) - first < k
+            yield a, q[of[kept]], copy[kept], d[of[kept]]
+
+
+def _looked(located: DataFrame, blocks: DataFrame, tree: _Tree, k: int, grouped: bool) -> DataFrame:
+    """The askers with each radius tightened to the k-th distance found in the leaves next to them."""
+    alphas = tree.alphas
+
+    def run(queries: pa.Table, points: pa.Table) -> pa.Table:
+        radii = _matrix(queries.column("radii").combine_chunks(), queries.num_rows).copy()
+        if queries.num_rows and points.num_rows:
+            slack = _matrix(queries.column("slack").combine_chunks(), queries.num_rows)
+            for a, q, _, d in _met(queries, points, alphas, k, grouped):
+                kth = np.arange(len(q)) - np.searchsorted(q, q, side="left") == k - 1
+                radii[q[kth], a] = np.minimum(radii[q[kth], a], d[kth] + slack[q[kth], a])
+        columns = [queries.column(c) for c in ("id", "name", "x", "grp")]
+        return pa.table([*columns, _lists(radii)], ["id", "name", "x", "grp", "radii"])
+
+    told = located.select("id", "name", "x", "grp")
+    looked = _groups(located).cogroup(_groups(blocks)).applyInArrow(run, f"{_schema(told)}, radii array<double>")
+    radii = [F.min(F.get("radii", F.lit(i))) for i in range(len(alphas))]
+    return looked.groupBy("id", "name", "x", "grp").agg(F.array(*radii).alias("radii"))
+
+
+def _groups(df: DataFrame):
+    return df.groupby("leaf", "salt")
+
+
+def _answers(visits: DataFrame, blocks: DataFrame, tree: _Tree, k: int, grouped: bool) -> DataFrame:
+    """(query, alpha, distance, neighbour_id, label): up to k of the points of each leaf visited."""
+    alphas = tree.alphas
+    copy = blocks.schema["copies"].dataType.elementType
+    kinds = f"neighbour_id {copy['id'].dataType.simpleString()}, label {copy['label'].dataType.simpleString()}"
+    names = ["query", "alpha", "distance", "neighbour_id", "label"]
+
+    def run(queries: pa.Table, points: pa.Table) -> pa.Table:
+        copies = pc.list_flatten(points.column("copies").combine_chunks())
+        ids, labels = copies.field("id"), copies.field("label")
+        asked = queries.column("id").combine_chunks()
+        none = np.zeros(0, np.int64)
+        found = list(_met(queries, points, alphas, k, grouped)) if queries.num_rows and points.num_rows else []
+        found = found or [(0, none, none, none.astype(float))]
+        q, c = (pa.array(np.concatenate([f[i] for f in found])) for i in (1, 2))
+        alpha = np.concatenate([np.full(len(f[1]), float(alphas[f[0]])) for f in found])
+        distance = np.concatenate([f[3] for f in found])
+        return pa.table([asked.take(q), pa.array(alpha), pa.array(distance), ids.take(c), labels.take(c)], names)
+
+    query = f"query {visits.schema['id'].dataType.simpleString()}"
+    return _groups(visits).cogroup(_groups(blocks)).applyInArrow(run, f"{query}, alpha double, distance double, {kinds}")
 
 
 def nearest_by_alpha(
@@ -361,52 +423,49 @@ def nearest_by_alpha(
     k: int,
     alphas: Sequence[float],
     query_columns: PointColumns | None = None,
-    pivots: int = 32,
+    pivots: int | None = None,
     block_rows: int = 256,
 ) -> DataFrame:
     """(query_id, alpha, place, neighbour_id, distance, label): the k nearest training rows of
-    every query for every alpha, ties by neighbour id.  One index and one visit join serve all."""
+    every query for every alpha, ties by neighbour id.  One index and one visit join serve all.
+
+    ``pivots``: how many cells; by itself the root of the number of leaves."""
     grouped = columns.group is not None
     alphas = list(dict.fromkeys(map(float, alphas)))
     if not alphas:
         raise ValueError("there are no alphas")
     asked = (query_columns or columns).points(queries, any(alphas))
-    copies = Window.partitionBy("name", "x", "grp").orderBy("id")
+    same = Window.partitionBy("name", "x", "grp").orderBy("id")
     points = (
         columns.points(train, any(alphas))
-        .withColumn("copy", F.row_number().over(copies))
+        .withColumn("copy", F.row_number().over(same))
         .where(F.col("copy") <= k)
-        .drop("copy")
-    )
-    index = _Index(alphas, k, _choose_pivots(points, pivots), [], {})
-    if not index.pivots:
-        raise ValueError("there are no training rows")
-    placed = _placed(points, index)
-    index = _survey(placed, index, block_rows, grouped)
-
-    spark = train.sparkSession
-    rings = spark.createDataFrame(
-        [(b["cell"], r, b["band"], b["parts"]) for b in index.bands for r in b["rings"]],
-        "cell int, ring int, band int, parts int",
+        .groupBy("name", "x", "grp")
+        # At most k of them.
+        .agg(F.collect_list(F.struct("id", "label")).alias("copies"))
     )
+    askers = asked.groupBy("name", "x", "grp").agg(F.min("id").alias("id"))
+    many = askers.count()
+    # The work of a row is far more than its bytes, by which Spark would join the tasks.
+    parts = max(1, min(-(-many // 256), 4 * train.sparkSession.sparkContext.defaultParallelism), -(-many // 20_000))
+    salts = -(-many // _VISITORS) or 1
+    salt = F.pmod(F.xxhash64("name", "x", "grp"), F.lit(salts)).cast("int")
+
+    tree = _tree(points, alphas, block_rows, pivots)
+    as_bytes = F.col("name").cast("binary")
+    placed = _placed(points.withColumn("name", as_bytes).repartition(parts), tree)
+    counted = _survey(placed, tree)
+    tree.surveyed(counted.withColumn("n", F.col("others" if grouped else "all")).collect())
     blocks = (
-        # One row per pivot and ring: a few thousand at most.
-        placed.join(F.broadcast(rings), ["cell", "ring"])
-        .withColumn("part", F.pmod(F.xxhash64("id", "name"), F.col("parts")).cast("int"))
-        .groupBy("band", "part")
-        # About block_rows points each, spread by hash.
-        .agg(F.collect_list(F.struct("edit", "euclid", "id", "name", "x", "grp", "label")).alias("points"))
+        placed.select("leaf", "name", "x", "grp", "copies", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        .repartition(parts, "leaf", "salt")
     )
-
-    dims = len(columns.stats) if any(alphas) else 0
-    askers = asked.groupBy("name", "x", "grp").agg(F.min("id").alias("id"))
-    located = _tightened(_located(askers, index, grouped), blocks, index, dims, grouped)
+    located = _located(askers.withColumn("name", as_bytes).repartition(parts), tree, k)
+    located = _looked(located.withColumn("salt", salt).repartition(parts, "leaf", "salt"), blocks, tree, k, grouped)
+    visits = _visits(located.repartition(parts), tree).withColumn("salt", salt).repartition(parts, "leaf", "salt")
     order = Window.partitionBy("query", "alpha").orderBy("distance", "neighbour_id")
     answers = (
-        _visits(located, index).join(blocks, ["band", "part"])
-        .withColumn("found", _found(index, dims, grouped))
-        .select(F.col("id").alias("query"), F.explode(_best(index)).alias("n"))
-        .select("query", "n.alpha", "n.p.distance", F.col("n.p.id").alias("neighbour_id"), "n.p.label")
+        _answers(visits, blocks, tree, k, grouped)
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= k)
     )
@@ -426,7 +485,7 @@ def nearest(
     k: int,
     alpha: float = 1.0,
     query_columns: PointColumns | None = None,
-    pivots: int = 32,
+    pivots: int | None = None,
     block_rows: int = 256,
 ) -> DataFrame:
     """(query_id, place, neighbour_id, distance, label): the k nearest training rows of
