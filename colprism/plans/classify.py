@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from threading import Lock
 
-from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, PipelineModel, Transformer
 from pyspark.ml.classification import (
     LinearSVC,
@@ -44,7 +44,7 @@ from colprism.operators.evaluate import hit_rate
 from colprism.operators.folds import in_holdout
 from colprism.operators.prep import stats_scaler
 from colprism.operators.quality import drop_bad_rows
-from colprism.plans.gridfit import Machine, MachineModel, fit_grid, grid_hits, prepared
+from colprism.plans.gridfit import Machine, MachineModel, compact, fit_grid, grid_hits, prepared
 
 _MAX_VOCABULARY = 1 << 18
 _MAX_TREE_DEPTH = 30
@@ -131,9 +131,12 @@ def logistic(c: float, rows: int, label: str = "label", iterations: int = 100) -
 
 
 def forest(trees: int, depth: int, label: str = "label") -> Estimator:
-    """Random forest.  Spark grows trees to depth 30 at most."""
+    """Random forest.  Spark grows trees to depth 30 at most.
+
+    The node of each row is kept: else every level sends all trees grown so far to every task.
+    """
     return RandomForestClassifier(
-        labelCol=label, numTrees=trees, maxDepth=min(depth, _MAX_TREE_DEPTH), seed=SEED
+        labelCol=label, numTrees=trees, maxDepth=min(depth, _MAX_TREE_DEPTH), seed=SEED, cacheNodeIds=True
     )
 
 
@@ -239,51 +242,63 @@ def grid_search(
     fold: str = "fold",
     folds: int = FOLDS,
     holdout: DataFrame | None = None,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> GridResult:
     """Cross-validated search over ``data`` with columns features, label, fold and row_id.
 
     In every fold a quarter of the other rows chooses the candidate (the first of the
     best in grid order); the chosen model is scored on the other rows, on the fold
     and on the hold-out.  Grids of linear and radial machines are fitted together, all
-    points and folds in the passes of one fit; others one by one.
+    points and folds in the passes of one fit; others one by one, ``parallelism`` at a time.
     """
     if all(c.machine for c in candidates):
         return _searched_together(data, candidates, row_id, label, fold, folds, holdout)
     spark = data.sparkSession
-    kept = data.select(quoted(row_id), quoted(label), quoted(fold), "features").persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    kept = compact(data.select(quoted(row_id), quoted(label), quoted(fold), "features"), row_id)
+    held = None if holdout is None else compact(holdout.select(quoted(row_id), quoted(label), "features"), row_id)
     names = list(candidates[0].params)
-    tried, chosen, models = [], [], []
+    # Another seed than the folds': with the same hash order the quarter would
+    # lie inside the first folds.
+    choosing = in_holdout(quoted(row_id), seed=SEED + 1)
+    rest = [kept.where(F.col(fold) != f) for f in range(folds)]
+    learnt = [r.where(~choosing) for r in rest]
+    accuracies: list[list[float | None]] = [[None] * len(candidates) for _ in range(folds)]
+    best: list[tuple[tuple[float, int], Model] | None] = [None] * folds
+    lock = Lock()
+
+    def attempt(f: int, place: int, rows: int) -> None:
+        model = candidates[place].estimator(rows).fit(learnt[f])
+        accuracy = _score(model, rest[f].where(choosing), label)
+        rank = (accuracy or 0.0, -place)
+        with lock:
+            accuracies[f][place] = accuracy
+            # Of the models of a fold only the best one so far is held.
+            if best[f] is None or rank > best[f][0]:
+                best[f] = rank, model
+
+    chosen = []
     try:
-        for f in range(folds):
-            rest = kept.where(F.col(fold) != f)
-            # Another seed than the folds': with the same hash order the quarter would
-            # lie inside the first folds.
-            choosing = in_holdout(quoted(row_id), seed=SEED + 1)
-            fit_rows, choose_rows = rest.where(~choosing), rest.where(choosing)
-            rows = fit_rows.count()
-
-            def attempt(candidate: Candidate) -> tuple[float, Model]:
-                model = candidate.estimator(rows).fit(fit_rows)
-                return _score(model, choose_rows, label), model
-
-            with ThreadPoolExecutor(max(1, parallelism)) as pool:
-                results = list(pool.map(attempt, candidates))
-            for place, (candidate, (accuracy, _)) in enumerate(zip(candidates, results)):
-                tried.append((f, place, *[candidate.params[n] for n in names], accuracy))
-            place = max(range(len(results)), key=lambda i: (results[i][0] or 0.0, -i))
-            model = results[place][1]
-            models.append(model)
-            line = [f, place, *[candidates[place].params[n] for n in names]]
-            line += [_score(model, rest, label), _score(model, kept.where(F.col(fold) == f), label)]
-            if holdout is not None:
-                line.append(_score(model, holdout, label))
+        sizes = [r.count() for r in learnt]
+        with ThreadPoolExecutor(max(1, parallelism)) as pool:
+            tasks = [pool.submit(attempt, f, place, sizes[f]) for f in range(folds) for place in range(len(candidates))]
+            for task in tasks:
+                task.result()
+        for f, ((_, place), model) in enumerate(best):
+            line = [f, -place, *[candidates[-place].params[n] for n in names]]
+            line += [_score(model, rest[f], label), _score(model, kept.where(F.col(fold) == f), label)]
+            if held is not None:
+                line.append(_score(model, held, label))
             chosen.append(tuple(line))
     finally:
         kept.unpersist()
-    return _results(spark, names, tried, chosen, holdout is not None, models)
+        if held is not None:
+            held.unpersist()
+    tried = [
+        (f, place, *[candidate.params[n] for n in names], accuracies[f][place])
+        for f in range(folds)
+        for place, candidate in enumerate(candidates)
+    ]
+    return _results(spark, names, tried, chosen, holdout is not None, [model for _, model in best])
 
 
 def _results(

@@ -84,11 +84,30 @@ def prepared(data: DataFrame, label: str, fold: str, choosing: Column, features:
     ).first()
     names = list(told["classes"] if classes is None else classes)
     target = F.array_position(F.array(*[F.lit(float(c)) for c in names] or [F.lit(0.0)]), F.col("label")) - 1
-    parts = max(1, math.ceil(((told["cells"] or 0) * 12 + told["n"] * 32) / _BYTES))
+    parts = _parts(told["cells"], told["n"])
     table = rows.select(target.cast("int").alias("target"), "fold", "choosing", "indices", "values").repartition(parts)
     return Rows(table.persist(StorageLevel.MEMORY_AND_DISK), names, told["width"] or 0, (told["fold"] or 0) + 1, parts)
 
 
+def compact(rows: DataFrame, row_id: str, features: str = "features") -> DataFrame:
+    """The rows, cached, in as many partitions as their bytes ask for and in the order of their ids.
+
+    What a tree grows on is summed by partition, so each of them costs its sums for every node.
+    """
+    wide = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    _, values, _ = _unwrapped(quoted(features))
+    told = wide.select(values).agg(F.sum(F.size("values")).alias("cells"), F.count(F.lit(1)).alias("n")).first()
+    parts = _parts(told["cells"], told["n"])
+    near = wide.repartition(parts, quoted(row_id)).sortWithinPartitions(quoted(row_id)).persist(StorageLevel.MEMORY_AND_DISK)
+    near.count()
+    wide.unpersist()
+    return near
+
+
+def _parts(cells: int | None, rows: int) -> int:
+    return max(1, math.ceil(((cells or 0) * 12 + rows * 32) / _BYTES))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     """(target, fold, choosing, the features that occur, their dense matrix) of some rows at a time."""
     for batch in batches:

@@ -131,3 +131,27 @@ def test_no_rows_are_refused(spark):
     df = table(spark, *points(20, 2)).where("id < 0")
     with pytest.raises(ValueError):
         gridfit.fit_grid(rows_of(df), [Machine("svm", 1.0)])
+
+
+def test_forests_grow_on_few_partitions_and_keep_nodes(spark, monkeypatch):
+    """With the partitions of the input, every level of every tree was summed 40 times; trees were sent with every level."""
+    df = table(spark, *points(300, 2)).repartition(40)
+    seen = []
+    estimators = [classify.Candidate(c.params, lambda rows, c=c: Spy(c.estimator(rows))) for c in classify.forest_grid(trees=[2, 4], depths=[2, 50])]
+
+    class Spy:
+        def __init__(self, forest):
+            self.forest = forest
+
+        def fit(self, rows):
+            seen.append((rows.rdd.getNumPartitions(), self.forest.getCacheNodeIds(), self.forest.getMaxDepth(), self.forest.getNumTrees()))
+            return self.forest.fit(rows)
+
+    found = classify.grid_search(df, estimators, row_id="id", folds=3, holdout=df.drop("fold"))
+    assert sorted(seen) == sorted(3 * [(1, True, d, t) for t in (2, 4) for d in (2, 30)])
+    scores, best = found.scores.collect(), found.best.collect()
+    assert len(scores) == 12 and [r.fold for r in best] == [0, 1, 2] and len(found.models) == 3
+    for line, model in zip(best, found.models):
+        top = max(r.accuracy for r in scores if r.fold == line.fold)
+        assert line.place == min(r.place for r in scores if r.fold == line.fold and r.accuracy == top)
+        assert classify._score(model, df, "label") == pytest.approx(line.holdout)
