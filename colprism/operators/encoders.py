@@ -11,10 +11,23 @@ from colprism.functions.chars import bigrams, chars, pad_front
 from colprism.functions.constants import int_array
 from colprism.operators.folds import number_rows
 
+#: Characters of the rows that one task counts.
+_CHARS = 1 << 20
+#: Bigrams of a vocabulary that is sent to every task.
+_SENT = 1 << 18
+_SALTS = 64
+
 
 def gram_counts(df: DataFrame, row_id: str, column: str) -> DataFrame:
-    """(row_id, gram, n): how often each character bigram occurs in the text of a row."""
-    grams = df.select(quoted(row_id), F.explode(bigrams(column)).alias("gram"))
+    """(row_id, gram, n): how often each character bigram occurs in the text of a row.
+
+    Rows are dealt out before they are taken apart, to as many tasks as their characters ask
+    for: a small file holds so many bigrams that the counts of one task would fill its memory.
+    """
+    length = F.coalesce(F.char_length(quoted(column).cast("string")), F.lit(3))
+    parts = -(-(df.agg(F.sum(length)).first()[0] or 0) // _CHARS) or 1
+    dealt = df.select(quoted(row_id), quoted(column)).repartition(parts, quoted(row_id))
+    grams = dealt.select(quoted(row_id), F.explode(bigrams(column)).alias("gram"))
     return grams.groupBy(quoted(row_id), "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -30,12 +43,20 @@ def gram_vocabulary(df: DataFrame, column: str) -> DataFrame:
 def encode_grams(
     df: DataFrame, row_id: str, column: str, vocabulary: DataFrame
 ) -> DataFrame:
-    """(row_id, gram_index, n): bigram counts in the vocabulary; unknown bigrams drop out."""
-    return (
-        gram_counts(df, row_id, column)
-        .join(vocabulary, "gram")
-        .select(quoted(row_id), "gram_index", "n")
-    )
+    """(row_id, gram_index, n): bigram counts in the vocabulary; unknown bigrams drop out.
+
+    Many rows have the same few bigrams, so they are never dealt out by bigram: a vocabulary
+    of up to ``_SENT`` goes to every task; of a larger one, each bigram has ``_SALTS`` copies.
+    """
+    counts = gram_counts(df, row_id, column)
+    few = vocabulary.limit(_SENT + 1).collect()
+    if len(few) <= _SENT:
+        known = counts.join(F.broadcast(df.sparkSession.createDataFrame(few, vocabulary.schema)), "gram")
+    else:
+        copies = vocabulary.select("*", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("__salt"))
+        salt = F.pmod(F.xxhash64(quoted(row_id)), F.lit(_SALTS)).cast("int")
+        known = counts.withColumn("__salt", salt).join(copies, ["gram", "__salt"])
+    return known.select(quoted(row_id), "gram_index", "n")
 
 
 def char_dictionary(df: DataFrame, column: str) -> DataFrame:
