@@ -175,6 +175,9 @@ class Fourier:
         draw = np.random.Generator(np.random.PCG64(seed))
         return cls(draw.standard_normal((size, n)), draw.random(n) * 2 * np.pi)
 
+    def turned(self, which: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return x @ self.weights[which]
+
     def of(self, turned: np.ndarray, gamma: float) -> np.ndarray:
         return np.cos(math.sqrt(2 * gamma) * turned + self.shifts) * math.sqrt(2 / len(self.shifts))
 
@@ -190,11 +193,13 @@ class Family:
     inputs: int
     outputs: int
 
-    def matrix(self, which: np.ndarray, x: np.ndarray, scale: np.ndarray, fourier: Fourier | None) -> tuple[np.ndarray | slice, np.ndarray]:
-        """(places of the inputs, rows x inputs)."""
+    def matrix(
+        self, which: np.ndarray, x: np.ndarray, scale: np.ndarray, fourier: Fourier | None, turned: np.ndarray | None = None
+    ) -> tuple[np.ndarray | slice, np.ndarray]:
+        """(places of the inputs, rows x inputs); ``turned`` is the same for every gamma."""
         if self.gamma is None:
             return which, x / scale[which]
-        return slice(None), fourier.of(x @ fourier.weights[which], self.gamma)
+        return slice(None), fourier.of(fourier.turned(which, x) if turned is None else turned, self.gamma)
 
 
 def _losses(kind: str, z: np.ndarray, target: np.ndarray, classes: int, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,22 +234,26 @@ def _scores(a: np.ndarray, w: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
     return (a @ flat).reshape(len(a), models, outputs) + w[:, -1]
 
 
-Sent = tuple[np.ndarray, np.ndarray]
+Sent = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _step(families: list[Family], sent: list[Sent], folds: int, classes: int, scale: np.ndarray, fourier: Fourier | None):
-    """Sums of losses and slopes of all models of a partition, family after family, for their (weights, widths)."""
+    """Sums of losses and slopes of some models of a partition, family after family, for their (numbers, weights, widths)."""
+    asked = [(f, *s) for f, s in zip(families, sent) if len(s[0])]
 
     def run(blocks: Iterator[tuple]) -> np.ndarray | None:
         sums = None
         for target, fold, choosing, which, x in blocks:
             if sums is None:
-                sums = [(np.zeros((w.shape[0], 1 if f.kind == "logistic" else w.shape[2])), np.zeros_like(w)) for f, (w, _) in zip(families, sent)]
-            learns = (fold[:, None] != np.arange(folds)) & ~choosing[:, None] & (target >= 0)[:, None]
-            for family, (w, width), (loss_sum, slope_sum) in zip(families, sent, sums):
-                at, a = family.matrix(which, x, scale, fourier)
-                mask = np.tile(learns, len(family.points))[:, :, None]  # models are ordered point by point, fold by fold
-                loss, slope = _losses(family.kind, _scores(a, w, at), np.maximum(target, 0), classes, width)
+                sums = [(np.zeros((w.shape[0], 1 if f.kind == "logistic" else w.shape[2])), np.zeros_like(w)) for f, _, w, _ in asked]
+            learning = ~choosing & (target >= 0)
+            target, fold, x = target[learning], fold[learning], x[learning]
+            learns = fold[:, None] != np.arange(folds)
+            turned = fourier.turned(which, x) if any(f.gamma is not None for f, *_ in asked) else None
+            for (family, number, w, width), (loss_sum, slope_sum) in zip(asked, sums):
+                at, a = family.matrix(which, x, scale, fourier, turned)
+                mask = learns[:, number % folds][:, :, None]  # models are ordered point by point, fold by fold
+                loss, slope = _losses(family.kind, _scores(a, w, at), target, classes, width)
                 loss_sum += (loss * mask).sum(0)
                 slope *= mask
                 part = (a.T @ slope.reshape(len(a), -1)).reshape(a.shape[1], *slope.shape[1:])
@@ -396,17 +405,23 @@ def fit_grid(
     # The constant is not held back.
     backs = [np.append(1 / scale**2 if f.gamma is None else np.ones(f.inputs), 0.0)[:, None] for f in families]
 
-    def stacked(of: Callable[[Descent], np.ndarray]) -> list[np.ndarray]:
-        """models x inputs + 1 x outputs of each family."""
-        return [np.array([np.concatenate([of(d).reshape(f.inputs + 1, -1) for d in m], 1) for m in ms]) for f, ms in zip(families, descents)]
+    def stacked(of: Callable[[Descent], np.ndarray], family: int, models: Sequence[int]) -> np.ndarray:
+        """models x inputs + 1 x outputs of a family."""
+        f, ms = families[family], descents[family]
+        return np.array([np.concatenate([of(d).reshape(f.inputs + 1, -1) for d in ms[i]], 1) for i in models])
 
     context = rows.table.sparkSession.sparkContext
     fixed = context.broadcast((scale, None if map_ is None else (map_.weights, map_.shifts)))
     passes = 0
-    while not all(d.done for ms in descents for m in ms for d in m):
+    while True:
+        # A model that has come to its end takes no part in further passes.
+        open_ = [[i for i, m in enumerate(ms) if not all(d.done for d in m)] for ms in descents]
+        if not any(open_):
+            break
         passes += 1
-        widths = [np.array([[d.width for d in m] for m in ms]) for ms in descents]
-        sent = context.broadcast(list(zip(stacked(lambda d: d.at), widths)))
+        widths = [np.array([[d.width for d in ms[i]] for i in some]) for ms, some in zip(descents, open_)]
+        weights = [stacked(lambda d: d.at, f, some) for f, some in enumerate(open_)]
+        sent = context.broadcast(list(zip(map(np.array, open_), weights, widths)))
 
         def step(blocks: Iterator[tuple], sent=sent) -> np.ndarray | None:
             scale, drawn = fixed.value
@@ -415,20 +430,22 @@ def fit_grid(
         told = summed(rows, step)
         sent.destroy()
         place = 0
-        for family, ms, back in zip(families, descents, backs):
-            models, each = len(ms), len(ms[0])
+        for family, ms, back, some in zip(families, descents, backs, open_):
+            models, each = len(some), len(ms[0])
+            if not models:
+                continue
             loss = told[place : place + models * each].reshape(models, each)
             place += models * each
             slope = told[place : place + models * len(back) * family.outputs].reshape(models, len(back), family.outputs)
             place += slope.size
-            for i, m in enumerate(ms):
+            for row, i in enumerate(some):
                 penalty, many = back / (family.c[i // folds] * n[i % folds]), n[i % folds]
-                for k, d in enumerate(m):
+                for k, d in enumerate(ms[i]):
                     at = d.at.reshape(len(back), -1)
-                    part = slope[i] if each == 1 else slope[i][:, k : k + 1]
-                    d.tell(loss[i, k] / many + 0.5 * float((penalty * at * at).sum()), (part / many + penalty * at).ravel())
+                    part = slope[row] if each == 1 else slope[row][:, k : k + 1]
+                    d.tell(loss[row, k] / many + 0.5 * float((penalty * at * at).sum()), (part / many + penalty * at).ravel())
     fixed.destroy()
-    weights = stacked(lambda d: d.x)
+    weights = [stacked(lambda d: d.x, f, range(len(ms))) for f, ms in enumerate(descents)]
     for family, w in zip(families, weights):
         if family.gamma is None:
             w[:, :-1] /= scale[:, None]
@@ -450,8 +467,9 @@ def grid_hits(rows: Rows, fit: GridFit) -> np.ndarray:
             own = fold[:, None] == np.arange(folds)
             sets = np.stack([~own & choosing[:, None], ~own, own, np.ones_like(own)], 2)
             out[..., 1] += sets.sum(0)
+            turned = fourier and fourier.turned(which, x)
             for family, w in zip(families, weights):
-                at, a = family.matrix(which, x, np.ones(x.shape[1] if not len(which) else which.max() + 1), fourier)
+                at, a = family.matrix(which, x, np.ones(x.shape[1] if not len(which) else which.max() + 1), fourier, turned)
                 hit = predicted(_scores(a, w, at), classes) == target[:, None]
                 for i, point in enumerate(family.points):
                     out[point, :, :, 0] += (hit[:, i * folds : (i + 1) * folds, None] & sets).sum(0)

@@ -155,3 +155,22 @@ def test_forests_grow_on_few_partitions_and_keep_nodes(spark, monkeypatch):
         top = max(r.accuracy for r in scores if r.fold == line.fold)
         assert line.place == min(r.place for r in scores if r.fold == line.fold and r.accuracy == top)
         assert classify._score(model, df, "label") == pytest.approx(line.holdout)
+
+
+def test_a_model_at_its_end_takes_no_part_in_further_passes(spark, monkeypatch):
+    df = table(spark, *points(150, 2))
+    asked = []
+    summed = gridfit.summed
+
+    def spy(rows, run):
+        out = summed(rows, run)
+        asked.append(len(out))
+        return out
+
+    monkeypatch.setattr(gridfit, "summed", spy)
+    machines = [Machine("svm", 1.0, 0.1, iterations=3), Machine("svm", 10.0, 0.1, iterations=60), Machine("svm", 1.0, 10.0, iterations=3)]
+    fit = gridfit.fit_grid(rows_of(df), machines, fourier=16)
+    # Beside the moments: a loss and 17 slopes for each model and fold still at work.
+    assert asked[1] == 9 * 18 and asked[-1] <= 3 * 18
+    alone = gridfit.fit_grid(rows_of(df), machines[:1], fourier=16)
+    assert np.allclose(fit.weights[0][:3], alone.weights[0], atol=1e-6)
