@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -142,19 +142,20 @@ def _encode(batches: Iterator[pa.RecordBatch], vocab: Vocabulary) -> Iterator[pa
         at = batch.schema.get_field_index("text")
         for lo in range(0, batch.num_rows, 500):
             part = batch.slice(lo, 500)
-            listed = [text.lower().split() for text in texts(part)]
-            different: dict[bytes, int] = {END: 0}
-            for words in listed:
-                words.append(END)
-                for w in set(words).difference(different):
-                    different[w] = len(different)
+            listed = [[*text.lower().split(), END] for text in texts(part)]
+            # A word not seen yet gets the next number as it is looked up.
+            different: defaultdict[bytes, int] = defaultdict()
+            different.default_factory = different.__len__
+            different[END]
             number = np.fromiter(map(different.__getitem__, itertools.chain.from_iterable(listed)), np.int64)
             size = np.array([len(words) for words in listed], np.int64)
             starts = np.cumsum(size) - size
-            head = np.array([place.get(w, -1) for w in different], np.int64)
-            cls = np.array([suffix_class(w) for w in different], np.int64)
+            head = np.fromiter([place.get(w, -1) for w in different], np.int64, len(different))
             known = head >= 0
+            cls = np.zeros(len(head), np.int64)
             cls[known] = vocab.classes[head[known]]
+            # Only words outside the heads go by their last bytes.
+            cls[~known] = [suffix_class(w) for w, k in zip(different, known.tolist()) if not k]
             cls[0] = 0
             log, c = np.zeros(len(head)), np.zeros(len(head), np.int64)
             log[known], c[known] = logs[head[known]], vocab.counts[head[known]]
@@ -163,7 +164,7 @@ def _encode(batches: Iterator[pa.RecordBatch], vocab: Vocabulary) -> Iterator[pa
             classes = cls[number].astype(np.uint16)
             # Words outside the heads, counted by row.
             row = np.repeat(np.arange(len(size)), size)
-            other = ~known[number]
+            other = np.flatnonzero(~known[number])
             pairs, times = np.unique(row[other] * len(head) + number[other], return_counts=True)
             names = pa.array(list(different), pa.binary()).take(pa.array(pairs % len(head)))
             cuts = np.searchsorted(pairs, np.arange(len(size) + 1) * len(head)).astype(np.int32)
