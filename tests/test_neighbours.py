@@ -83,3 +83,51 @@ def test_infinite_statistics_lose_no_query(spark):
     got = neighbours.nearest(df, df, neighbours.PointColumns("id", "name", ("x",)), k=2, block_rows=4).collect()
     assert len(got) == 60
     assert {r.neighbour_id for r in got if r.query_id == 0} == {0, 1}
+
+
+def test_a_grid_makes_no_row_for_each_query_alpha_count_and_label(spark, monkeypatch):
+    """Every copy of a query had a row for each alpha, place and count, which were shuffled; a visited leaf one for each alpha and place."""
+    draw = random.Random(4)
+    rows = [(i, draw.choice(["ring", "bolt", "hot ring"]), float(draw.randrange(40)), draw.choice([0, 1, 2, None]), i % 3) for i in range(200)]
+    rows = [(i + 1000 * c if i % 50 or c else None, *r) for c in range(4) for i, *r in rows]
+    df = spark.createDataFrame(rows, "id int, name string, a double, y int, fold int")
+    columns = neighbours.PointColumns("id", "name", ("a",), "y", "fold")
+    alphas, counts = [0.1, 10.0], [1, 3, 5]
+    near = neighbours.nearest_by_alpha(df, df, columns, k=5, alphas=alphas).join(df.select("id", "fold", F.col("y").alias("actual")), F.expr("query_id = id"))
+    votes = neighbours.vote(near, counts, ["alpha", "fold", "actual"])
+    wanted = votes.groupBy("fold", "alpha", "k").agg(F.avg((F.col("actual") == F.col("predicted")).cast("int")).alias("accuracy")).collect()
+    answers, seen = neighbours._answers, []
+
+    def counted(visits, blocks, tree, *rest):
+        out = answers(visits, blocks, tree, *rest)
+        seen.append((out.count(), len(tree.cells), df.select("name", "a", "fold").distinct().count()))
+        return out
+
+    monkeypatch.setattr(neighbours, "_answers", counted)
+    monkeypatch.setattr(neighbours, "vote", None)
+    got = neighbours.neighbour_grid(df, columns, alphas=alphas, counts=counts).collect()
+    key = lambda r: (r["fold"], r["alpha"], r["k"])
+    assert {key(r): pytest.approx(r["accuracy"]) for r in wanted} == {key(r): r["accuracy"] for r in got} and len(got) == 18
+    ((found, cells, different),) = seen
+    assert different <= found <= different * cells
+
+
+def test_a_query_that_visits_all_leaves_is_a_row_for_each_cell(spark, monkeypatch):
+    """It was a row for each leaf, and each leaf had copies for all queries of the table."""
+    monkeypatch.setattr(neighbours, "_VISITORS", 50)
+    draw = random.Random(6)
+    far = ["".join(draw.choice("abcdefgh") for _ in range(20)) for _ in range(400)]
+    df = spark.createDataFrame([(i, name, i % 2) for i, name in enumerate(far)], "id int, name string, y int")
+    answers, seen = neighbours._answers, []
+
+    def counted(visits, blocks, tree, *rest):
+        seen.append((visits.count(), blocks.count(), len(tree.cells), len(tree.names)))
+        return answers(visits, blocks, tree, *rest)
+
+    monkeypatch.setattr(neighbours, "_answers", counted)
+    got = neighbours.nearest(df, df, neighbours.PointColumns("id", "name", (), "y"), k=2, alpha=0.0, block_rows=8).collect()
+    (visits, blocks, cells, leaves), = seen
+    assert visits <= 400 * cells < 400 * leaves / 2 and blocks <= 4 * 400
+    for r in got[:40]:
+        near = sorted((edit(far[r.query_id], name), i) for i, name in enumerate(far))[:2]
+        assert (r.distance, r.neighbour_id) == near[r.place - 1]
