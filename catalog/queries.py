@@ -812,10 +812,10 @@ _RAW_LAYOUT = classify.FeatureLayout(stats=tuple(VALUE_FEATURES), name="source")
 
 def _entities(spark: SparkSession, d: str) -> DataFrame:
     """Labelled documents: value features as statistics, source as name, lang as sample."""
-    return _labelled(spark, d).select(
-        "doc_id", "source", "lang", F.col("quality").cast("double").alias("label"),
-        *value_features(F.col("text")),
-    )
+    # Texts end here, so none are shuffled to meet their labels.
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", *value_features(F.col("text")))
+    labels = table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    return docs.join(labels, "doc_id").select("doc_id", "source", "lang", "label", *VALUE_FEATURES)
 
 
 def _search(spark, d, layout, grid) -> classify.GridResult:

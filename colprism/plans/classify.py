@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from threading import Lock
 
+import numpy as np
 from pyspark.ml import Estimator, Model, PipelineModel, Transformer
 from pyspark.ml.classification import (
     LinearSVC,
@@ -44,6 +45,7 @@ from colprism.operators.evaluate import hit_rate
 from colprism.operators.folds import in_holdout
 from colprism.operators.prep import stats_scaler
 from colprism.operators.quality import drop_bad_rows
+from colprism.plans.forests import Forest, Models, fit_forests
 from colprism.plans.gridfit import Machine, MachineModel, compact, fit_grid, grid_hits, prepared
 
 _MAX_VOCABULARY = 1 << 18
@@ -163,6 +165,7 @@ class Candidate:
     params: dict[str, float]
     estimator: Callable[[int], Estimator]
     machine: Machine | None = None  # what fits it together with the rest of the grid
+    forest: Forest | None = None  # likewise
 
 
 def logistic_grid(
@@ -185,7 +188,7 @@ def forest_grid(
     fitted = dict.fromkeys(min(d, _MAX_TREE_DEPTH) for d in depths)
     return [
         Candidate(
-            {"trees": float(t), "depth": float(d)}, lambda rows, t=t, d=d: forest(t, d, label)
+            {"trees": float(t), "depth": float(d)}, lambda rows, t=t, d=d: forest(t, d, label), forest=Forest(t, d)
         )
         for t in trees
         for d in fitted
@@ -225,7 +228,7 @@ class GridResult:
 
     scores: DataFrame
     best: DataFrame
-    models: list[Model] = field(default_factory=list)
+    models: Sequence[Model] = field(default_factory=list)
 
 
 def _score(model: Transformer, df: DataFrame, label: str) -> float:
@@ -249,10 +252,19 @@ def grid_search(
     In every fold a quarter of the other rows chooses the candidate (the first of the
     best in grid order); the chosen model is scored on the other rows, on the fold
     and on the hold-out.  Grids of linear and radial machines are fitted together, all
-    points and folds in the passes of one fit; others one by one, ``parallelism`` at a time.
+    points and folds in the passes of one fit; those of forests from the trees of the
+    largest one, as long as a task can hold the rows; others one by one, ``parallelism``
+    at a time.
     """
     if all(c.machine for c in candidates):
         return _searched_together(data, candidates, row_id, label, fold, folds, holdout)
+    if all(c.forest for c in candidates):
+        choosing = in_holdout(quoted(row_id), seed=SEED + 1)
+        fit = fit_forests(data, [c.forest for c in candidates], row_id, label, fold, folds, choosing, holdout)
+        if fit is not None:
+            tried, chosen = _lines(candidates, folds, fit.hits, None if holdout is None else fit.hits[..., 3, :])
+            models = Models(fit, [line[1] for line in chosen])
+            return _results(data.sparkSession, list(candidates[0].params), tried, chosen, holdout is not None, models)
     spark = data.sparkSession
     kept = compact(data.select(quoted(row_id), quoted(label), quoted(fold), "features"), row_id)
     held = None if holdout is None else compact(holdout.select(quoted(row_id), quoted(label), "features"), row_id)
@@ -302,7 +314,7 @@ def grid_search(
 
 
 def _results(
-    spark: SparkSession, names: Sequence[str], tried: list[tuple], chosen: list[tuple], holdout: bool, models: list[Model]
+    spark: SparkSession, names: Sequence[str], tried: list[tuple], chosen: list[tuple], holdout: bool, models: Sequence[Model]
 ) -> GridResult:
     params = ", ".join(f"{n} double" for n in names)
     last = ", holdout double" if holdout else ""
@@ -330,17 +342,23 @@ def _searched_together(
             test.table.unpersist()
     finally:
         rows.table.unpersist()
+    tried, chosen = _lines(candidates, folds, hits, None if held is None else held[..., 3, :])
+    models = [MachineModel.of(fit, line[1], line[0]) for line in chosen]
+    return _results(data.sparkSession, list(candidates[0].params), tried, chosen, holdout is not None, models)
+
+
+def _lines(candidates: Sequence[Candidate], folds: int, hits: np.ndarray, held: np.ndarray | None) -> tuple[list[tuple], list[tuple]]:
+    """What was tried and what was chosen, by points x folds x (choosing, other than the fold, the fold) x (hits, rows)."""
     share = lambda cell: float(cell[0] / cell[1]) if cell[1] else None
     names = list(candidates[0].params)
-    tried, chosen, models = [], [], []
+    tried, chosen = [], []
     for f in range(folds):
         scores = [share(hits[p, f, 0]) for p in range(len(candidates))]
         tried += [(f, p, *[c.params[n] for n in names], scores[p]) for p, c in enumerate(candidates)]
         best = max(range(len(scores)), key=lambda i: (scores[i] or 0.0, -i))
         line = [f, best, *[candidates[best].params[n] for n in names], share(hits[best, f, 1]), share(hits[best, f, 2])]
-        chosen.append(tuple(line + ([share(held[best, f, 3])] if held is not None else [])))
-        models.append(MachineModel.of(fit, best, f))
-    return _results(data.sparkSession, names, tried, chosen, holdout is not None, models)
+        chosen.append(tuple(line + ([share(held[best, f])] if held is not None else [])))
+    return tried, chosen
 
 
 def fit_pipeline(train: DataFrame, layout: FeatureLayout, estimator: Estimator) -> PipelineModel:
